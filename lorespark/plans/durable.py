@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own, by application, where the setting is missing.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
+    return _OWN[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
