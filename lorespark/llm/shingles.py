@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import regex
 import xxhash
 
-_WORDS = regex.compile(r"[\p{L}\p{N}]+")
+_WORDS = re.compile(r"[^\W_]+")  # letters and numbers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
