@@ -181,8 +181,10 @@ def label(text: str, host: str | None, url: str | None, paths: set[str], openers
             run = range(n + 1, k)
             if len(run) > 1 or (len(run) == 1 and (run[0] in weak or (k < len(lines) and k in marked))):
                 marked.update(run)
+    last = max((n for n, x in enumerate(lines) if x and n not in marked and n not in weak), default=-1)
     for n in weak:
-        if n - 1 in marked or n + 1 in marked or n - 1 in weak or n + 1 in weak:
+        # before the title or after the last prose there is no article left that it could head
+        if n < (title or 0) or n > last or n - 1 in marked or n + 1 in marked or n - 1 in weak or n + 1 in weak:
             marked.add(n)
     return [n + 1 for n in sorted(marked)]
 
