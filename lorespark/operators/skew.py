@@ -23,3 +23,12 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, tota
     found_hot = rows.join(F.broadcast(hot), key, "inner")
     found_cold = rows.join(hot_keys, key, "left_anti").join(cold, key, "inner")
     return found_hot.unionByName(found_cold.select(found_hot.columns))
+
+
+#: Rows of a few hundred bytes that may be sent to every task.
+SMALL = 200_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df`` broadcast if it has at most ``limit`` rows by count, else as it is, to be joined in a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -1,2 +1,153 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Search over the knowledge chunks. The queries are the chunks whose position is divisible by 100, against all chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.functions.text import decompose_query, expand_query
+from lorespark.operators import search as S
+from lorespark.sources.tables import table
+
+DIM = 96
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The first arrival of every chunk id that has a text."""
+    rows = table(spark, d, "knowledge_chunks").where("text IS NOT NULL AND id IS NOT NULL")
+    first = rows.groupBy("id").agg(F.min(F.struct("batch_no", "pos")).alias("first"))
+    return rows.join(first, "id").where(F.struct("batch_no", "pos") == F.col("first")).drop("first")
+
+
+def _queries(chunks: DataFrame) -> DataFrame:
+    return chunks.where("pos % 100 = 0").select(F.col("pos").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("vector"))
+
+
+def bm25_topk(spark, d):
+    chunks = _chunks(spark, d)
+    return S.top_k(S.normalised(S.bm25(_queries(chunks), chunks, "id", "text")), 5)
+
+
+def dense_topk(spark, d):
+    chunks = _chunks(spark, d)
+    return S.top_k(S.dense_scores(_queries(chunks), chunks, "id", "embedding", DIM, 5), 5)
+
+
+def hybrid_topk(spark, d):
+    chunks = _chunks(spark, d)
+    return S.hybrid(_queries(chunks), chunks, "id", "text", "embedding", DIM)
+
+
+def filtered_topk(spark, d):
+    """Only flat web chunks are searched, in both arms."""
+    chunks = _chunks(spark, d)
+    return S.hybrid(_queries(chunks), chunks.where(S.metadata_filter({"source_type": "web_doc"})).where("chunk_type IS NULL"), "id", "text", "embedding", DIM)
+
+
+def multi_query_topk(spark, d):
+    """Each query is cut into its longest parts, each part expanded and scored, and the best part counts."""
+    chunks = _chunks(spark, d)
+    parts = _queries(chunks).select("query_id", F.posexplode(decompose_query(F.col("query"))).alias("part", "query"))
+    asked = parts.select(F.struct("query_id", "part").alias("query_id"), expand_query(F.col("query")).alias("query"))
+    scores = S.normalised(S.bm25(asked, chunks, "id", "text"))
+    return S.top_k(S.max_fusion(scores.select("query_id.query_id", "query_id.part", "id", "score")), 5)
+
+
+def parent_expand(spark, d):
+    chunks = _chunks(spark, d)
+    return S.parents_for_children(S.top_k(S.normalised(S.bm25(_queries(chunks), chunks, "id", "text")), 10), chunks)
+
+
+def reranked(spark, d):
+    chunks = _chunks(spark, d)
+    wide = S.top_k(S.normalised(S.bm25(_queries(chunks), chunks, "id", "text")), 15)
+    return S.overlap_rerank(wide, _queries(chunks), chunks, "id", "text", 5)
+
+
+def context_blocks(spark, d):
+    chunks = _chunks(spark, d)
+    return S.context_blocks(S.top_k(S.normalised(S.bm25(_queries(chunks), chunks, "id", "text")), 3), chunks, "id", "text")
+
+
+def hashed_embedding(spark, d):
+    return S.hashed_vectors(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def token_idf(spark, d):
+    chunks = _chunks(spark, d)
+    weights = S.token_weights(S.postings(chunks, "id", "text"), chunks.count())
+    return weights.select("token", F.round("idf", 6).alias("idf"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (bm25_topk, dense_topk, hybrid_topk, filtered_topk, multi_query_topk, parent_expand, reranked, context_blocks, hashed_embedding, token_idf)
+}
+
+_CHUNKS = """
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no, pos) AS arrival FROM knowledge_chunks WHERE text IS NOT NULL AND id IS NOT NULL) WHERE arrival = 1),
+"""
+_Q = "q AS (SELECT pos AS query_id, text AS query, embedding AS vector FROM c WHERE pos % 100 = 0),"
+_BM25 = r"""
+t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM {docs}),
+p AS (SELECT token, id, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS dl FROM {docs}),
+s AS (SELECT count(*) AS n, avg(dl) AS mean FROM l),
+r AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY token, n),
+w AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+a AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS token FROM q) GROUP BY ALL),
+b AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM a JOIN w USING (token) JOIN p USING (token) JOIN l USING (id), s GROUP BY ALL),
+z AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS score FROM b),
+"""
+_RANKED = "SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id)::INT AS rank FROM {}) WHERE rank <= {}"
+_USABLE = "len({0}) = 96 AND list_bool_and(list_transform({0}, lambda y: isfinite(y))) AND list_bool_or(list_transform({0}, lambda y: y <> 0))"
+
+
+def _dense(docs: str, k: int) -> str:
+    return f"""
+vq AS (SELECT query_id, vector::DOUBLE[96] AS e FROM q WHERE {_USABLE.format("vector")}),
+vd AS (SELECT id, embedding::DOUBLE[96] AS e FROM {docs} WHERE {_USABLE.format("embedding")}),
+dd AS (SELECT query_id, id, round(array_cosine_similarity(vq.e, vd.e), 6) AS score FROM vq, vd),
+dk AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM dd) WHERE n <= {k}),
+"""
+
+
+def _hybrid(docs: str) -> str:
+    return (
+        _BM25.replace("{docs}", docs) + _dense(docs, 25)
+        + """
+sk AS (SELECT query_id, id, score FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS n FROM z WHERE score > 0) WHERE n <= 25),
+f AS (
+  SELECT query_id, id, round(0.7 * coalesce(dk.score, 0) + 0.3 * coalesce(sk.score, z.score, 0), 6) AS score
+  FROM dk FULL JOIN sk USING (query_id, id) LEFT JOIN z USING (query_id, id)),
+g AS (SELECT * FROM f WHERE score >= 0.1)
+""" + _RANKED.format("g", 5)
+    )
+
+
+def _sparse(k: int) -> str:
+    return _BM25.replace("{docs}", "c") + f"g AS ({_RANKED.format('z', k)})"
+
+
+SQL = {
+    "bm25_topk": "WITH " + _CHUNKS + _Q + _sparse(5) + " SELECT * FROM g",
+    "dense_topk": "WITH " + _CHUNKS + _Q + _dense("c", 5) + "g AS (SELECT 1) " + _RANKED.format("dk", 5),
+    "hybrid_topk": "WITH " + _CHUNKS + _Q + _hybrid("c"),
+    "filtered_topk": "WITH " + _CHUNKS + _Q + "cf AS (SELECT * FROM c WHERE source_type = 'web_doc' AND chunk_type IS NULL)," + _hybrid("cf"),
+    "parent_expand": "WITH " + _CHUNKS + _Q + _sparse(10) + """,
+k AS (SELECT g.*, coalesce(chunk_type = 'child' AND parent_id IS NOT NULL, false) AS is_child, parent_id FROM g JOIN c USING (id)),
+m AS (
+  SELECT query_id, CASE WHEN is_child THEN parent_id ELSE id END AS family, is_child, min({'r': rank, 'i': id, 's': score}) AS first, max(score) AS best FROM k GROUP BY ALL),
+o AS (
+  SELECT query_id, CASE WHEN is_child AND family IN (SELECT id FROM c) THEN family ELSE first.i END AS id,
+    CASE WHEN is_child AND family IN (SELECT id FROM c) THEN best ELSE first.s END AS score, first.r AS place, is_child FROM m)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY place, id, is_child)::INT AS rank FROM o""",
+    "reranked": "WITH " + _CHUNKS + _Q + _sparse(15) + r""",
+o AS (
+  SELECT query_id, g.id, len(list_intersect(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')), list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))))::DOUBLE
+    / greatest(len(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'))), 1) AS score FROM g JOIN q USING (query_id) JOIN c ON c.id = g.id)
+""" + _RANKED.format("o", 5),
+    "context_blocks": "WITH " + _CHUNKS + _Q + _sparse(3) + """
+SELECT query_id, string_agg('[Context ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM g JOIN c USING (id) GROUP BY query_id""",
+    "token_idf": "WITH " + _CHUNKS + _Q + _BM25.replace("{docs}", "c").rstrip().rstrip(",") + " SELECT token, round(idf, 6) AS idf FROM w",
+}
