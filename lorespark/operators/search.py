@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import tokens
-from lorespark.operators.skew import small_side
+from lorespark.operators.skew import SMALL, spread
+from lorespark.plans.durable import durable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE, SPARSE, LEAST_SCORE = 0.7, 0.3, 0.1
@@ -45,12 +46,18 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
 
     Only postings of query tokens are joined; a frequent token's postings meet the queries by broadcast if those are few, so that its key is not one task's.
     """
-    posts, dl = postings(docs, id_col, text_col), lengths(docs, id_col, text_col)
+    # a 64-bit key of the id, where ids are strings: what is summed many times is kept narrow
+    keyed = spread(docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))).withColumn("key", F.xxhash64("name"))
+    posts, dl = postings(keyed, "key", "text"), lengths(keyed, "key", "text")
     n, mean = dl.agg(F.count("*"), F.avg("dl")).first()
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    wanted = small_side(asked.join(token_weights(posts, n), "token"))
-    return posts.join(wanted, "token").join(dl, "id").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
+    asked = durable(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")))
+    # the part of a posting that no query changes comes first, so what meets the queries is ready to be summed where it is
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    impacts = posts.join(dl, "id").select("token", "id", part.alias("part"))
+    wanted = asked.join(token_weights(posts, n), "token").select("token", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"))
+    met = impacts.join(F.broadcast(wanted) if asked.count() <= SMALL else wanted, "token")
+    scores = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    return scores.withColumnRenamed("id", "key").join(keyed.select("key", F.col("name").alias("id")), "key").select("query_id", "id", "score")
 
 
 def normalised(scores: DataFrame) -> DataFrame:

@@ -32,3 +32,9 @@ SMALL = 200_000
 def small_side(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df`` broadcast if it has at most ``limit`` rows by count, else as it is, to be joined in a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files have fewer splits than there are cores; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import modeljson as J
 from lorespark.operators import suite as U
+from lorespark.operators.skew import spread
 from lorespark.sources.tables import table
 
 
@@ -73,8 +74,10 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
 
 def reply_cases(spark, d):
     """Replies parsed, repaired where truncated, and typed."""
-    parsed = _replies(spark, d).select("case_id", F.explode(J.case_list(J.parse_reply(F.col("raw")))).alias("c")).select("case_id", J.typed_case(F.col("c")).alias("t"))
-    return parsed.select("case_id", "t.use_case", "t.test_case", F.size("t.steps").alias("n_steps"), F.array_join("t.tags", ",").alias("tags"))
+    cases = J.read_replies(spread(_replies(spark, d)), "raw")
+    # an outer generator infers no filter that would repeat the reading below it
+    cases = cases.select("case_id", F.explode_outer("cases").alias("c")).where("c IS NOT NULL")
+    return J.typed_cases(cases, "c").select("case_id", "use_case", "test_case", F.size("steps").alias("n_steps"), F.array_join("tags", ",").alias("tags"))
 
 
 def semantic_pairs(spark, d):
@@ -157,7 +160,7 @@ SELECT case_id, suite_id FROM test_cases a WHERE pos > 30 AND NOT EXISTS (
     "short_suites": "SELECT suite_id, use_case, count(*) AS cases FROM test_cases GROUP BY ALL HAVING count(*) < 5",
     "reply_cases": """
 SELECT case_id, coalesce(nullif(use_case, ''), 'General Use Case') AS use_case, coalesce(nullif(test_case, ''), 'Untitled Test Case') AS test_case,
-  coalesce(len(list_filter(steps, lambda s: s <> '')), 0)::INT AS n_steps, coalesce(array_to_string(list_filter(tags, lambda s: s <> ''), ','), '') AS tags
+  coalesce(len(list_filter(steps, lambda s: s IS NOT NULL)), 0)::INT AS n_steps, coalesce(array_to_string(list_filter(tags, lambda s: s IS NOT NULL), ','), '') AS tags
 FROM test_cases WHERE test_case IS NOT NULL""",
     "semantic_pairs": r"""
 WITH w AS (

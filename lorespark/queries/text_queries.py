@@ -9,15 +9,16 @@ from lorespark.functions import budgets as B
 from lorespark.functions import text as T
 from lorespark.operators import chunking as C
 from lorespark.operators import folds
+from lorespark.operators.skew import spread
 from lorespark.sources.tables import table
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_documents", "raw_id", "text").where("text IS NOT NULL")
+    return spread(table(spark, d, "raw_documents", "raw_id", "text").where("text IS NOT NULL"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
+    return spread(table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL"))
 
 
 def clean_text(spark, d):
