@@ -9,8 +9,8 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def fold_case(text: Column) -> Column:
-    """Case-folded text. Upper-casing first makes letters with a two-letter capital (sharp s) equal to it."""
-    return F.lower(F.upper(text))
+    """Case-folded text: lower case, with sharp s as its capital is written."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def letters_digits(text: Column) -> Column:
