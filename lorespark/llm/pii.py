@@ -128,10 +128,10 @@ _GIVEN_BEFORE = re.compile(rf"(?<![\w@.'’-])(?!(?i:per|mme|frau|herr|from|by|f
 #: Capitalised words that begin sentences or carry titles, never part of a name.
 NOT_NAMES = frozenset(
     "the a an in on at of for from to by per with check it if when after before between nobody earlier every each with owner reported signed contact please ask reviewer ms mr mrs dr frau herr herrn mme "
-    "madame monsieur sr sra thanks regards test expected observed steps scope session ship order build counter requirement package icon see section appendix mark rollback release note open points "
+    "madame monsieur sr sra thanks regards test expected observed steps scope session ship order build counter requirement package icon see section appendix rollback release note open points "
     "copie copia merci rappeler llamar tel tél le la les el los las un une una der die das ein eine und et y von van durch par por con an am im nach wenn zu offen der freigabe gemeldet signalé validé aprobado "
     "lo consultar rückfragen bitte ausweisnummer passport national identity number id po box flat unit street close lane way ave avenue rd road north old south east west calle plaza avda rue boulevard impasse "
-    "gateway job field grace background preconditions but and or not as is this that there here he she they we you i danke grüße gruß saludos gracias cordialement".split()
+    "gateway job field background preconditions but and or not as is this that there here he she they we you i danke grüße gruß saludos gracias cordialement".split()
 )
 
 

@@ -12,7 +12,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits, case-folded as in the JVM: upper case first."""
+    """Runs of letters and digits, case-folded: by way of upper case, so that sharp s equals ss."""
     return _WORDS.findall(text.upper().lower())
 
 
