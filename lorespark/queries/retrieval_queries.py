@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import decompose_query, expand_query
+from lorespark.functions.text import EXPANSIONS, decompose_query, expand_query
 from lorespark.operators import search as S
 from lorespark.sources.tables import table
 
@@ -129,7 +129,18 @@ def _sparse(k: int) -> str:
     return _BM25.replace("{docs}", "c") + f"g AS ({_RANKED.format('z', k)})"
 
 
+_PARTS = r"""
+ps AS (
+  SELECT pos AS main, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '\n(#{1,4}\s)', chr(1) || '\1', 'g'),
+    '(\d+\.\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')), lambda x: length(x) > 30) AS parts FROM c WHERE pos % 100 = 0),
+pr AS (
+  SELECT main, unnest(CASE WHEN length(text) < 300 OR len(parts) <= 1 THEN [text]
+    ELSE list_transform(list_sort(list_transform(parts, lambda x, i: {'a': -length(x), 'b': i, 'c': x}))[1:4], lambda x: x.c) END) AS part FROM ps),
+pw AS (SELECT main, row_number() OVER () AS n, part, list_transform(list_filter([PAIRS], lambda p: contains(lower(part), p.term) AND NOT contains(lower(part), p.word)), lambda p: p.word) AS more FROM pr),
+q AS (SELECT {'m': main, 'n': n} AS query_id, CASE WHEN len(more) > 0 THEN part || chr(10) || chr(10) || 'Related terms: ' || array_to_string(more[1:15], ' ') ELSE part END AS query FROM pw),
+""".replace("PAIRS", ", ".join(f"{{'term': '{t}', 'word': '{w}'}}" for t, ws in EXPANSIONS.items() for w in ws))
 SQL = {
+    "multi_query_topk": "WITH " + _CHUNKS + _PARTS + _BM25.replace("{docs}", "c") + "mf AS (SELECT query_id.m AS query_id, id, max(score) AS score FROM z GROUP BY ALL) " + _RANKED.format("mf", 5),
     "bm25_topk": "WITH " + _CHUNKS + _Q + _sparse(5) + " SELECT * FROM g",
     "dense_topk": "WITH " + _CHUNKS + _Q + _dense("c", 5) + "g AS (SELECT 1) " + _RANKED.format("dk", 5),
     "hybrid_topk": "WITH " + _CHUNKS + _Q + _hybrid("c"),
