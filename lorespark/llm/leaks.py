@@ -6,7 +6,7 @@ many items share are seldom seeds. A document is read once; around each seed it
 Regions meet items by their seeds in a join, and each pair is aligned by words: the best local alignment (match +2, mismatch
 and gap -1) scores whole, partial and edited copies, and the longest exact run is reported with it.
 
-The seeds and items are checked to be small before they are sent to the tasks; a larger test set is joined in a shuffle instead.
+At most SMALL_SET seeds are sent to the tasks at once; a larger test set takes several passes, and its items are joined in a shuffle.
 
 Defined results: null and blank texts leak nothing; items without a word are left out; repeated document or item rows give one
 row per pair of ids; a document may leak several items.
@@ -129,14 +129,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ready = durable(item_words(items))
     seeds = durable(seeds_of(ready).distinct())
     reach = int(ready.agg(F.coalesce(F.max(F.size(F.split("item_words", " "))), F.lit(0))).first()[0])
-    if seeds.count() > SMALL_SET:
-        raise NotImplementedError("split the test set: its seeds exceed what may be sent to every task")
-    wanted = np.array(seeds.select("seed").distinct().toArrow()["seed"].to_numpy(), np.int64)
-    if not len(wanted):
-        return docs.sparkSession.createDataFrame([], LEAKS)
-    found = regions(docs, wanted, reach).withColumn("seed", F.explode("seeds"))
-    pairs = found.join(F.broadcast(seeds), "seed").drop("seed", "seeds").dropDuplicates(["doc_id", "region", "region_words", "item_id"])
-    pairs = pairs.join(F.broadcast(ready.select("item_id", "item_words")), "item_id")
+    passes = -(-seeds.count() // SMALL_SET)
+    pairs = docs.sparkSession.createDataFrame([], "item_id BIGINT, doc_id BIGINT, region INT, first_word INT, region_words STRING, item_words STRING")
+    for n in range(passes):
+        part = seeds.where(F.pmod("seed", F.lit(passes)) == n)
+        wanted = np.array(part.select("seed").distinct().toArrow()["seed"].to_numpy(), np.int64)  # at most about SMALL_SET
+        if len(wanted):
+            found = regions(docs, wanted, reach).withColumn("seed", F.explode("seeds"))
+            met = found.join(F.broadcast(part), "seed").drop("seed", "seeds").dropDuplicates(["doc_id", "region", "region_words", "item_id"])
+            texts = ready.select("item_id", "item_words")
+            pairs = pairs.unionByName(met.join(F.broadcast(texts) if passes == 1 else texts, "item_id").select(pairs.columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -16,11 +16,12 @@ vote once; blank lines are never furniture; line numbers count from 1 over all l
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,16 @@ from lorespark.plans.durable import durable
 
 SHARE, SENTENCE_SHARE, LEAST_PAGES, LEAST_HOSTS, OPENER_SHARE = 0.06, 0.15, 3, 4, 0.4
 
-_DECOR = regex.compile(r"^[\s»›•*·\-–>]+|[\s»›!]+$|\s*\(\d+\)\s*$")
-_LETTERS = regex.compile(r"[^\p{L}]+")
-_HEADING = regex.compile(r"\s*(?:#{1,6}\s|\d+(?:\.\d+)+\s)")
-_LIST = regex.compile(r"\s*(?:[-*•·»›>–]\s|\d+[.)]\s|\|)")
-_TRAIL = regex.compile(r"\s*[»›>/|·]\s*")
-_SENTENCE_END = regex.compile(r"[.;:?!。][\"')\]]*\s*$")
-_NAMES = regex.compile(r"(?:\p{Lu}[\p{L}'’.-]*\s*){1,4}$")
+_DECOR = re.compile(r"^[\s»›•*·\-–>]+|[\s»›!]+$|\s*\(\d+\)\s*$")
+_LETTERS = re.compile(r"[\W\d_]+")
+_HEADING = re.compile(r"\s*(?:#{1,6}\s|\d+(?:\.\d+)+\s)")
+_LIST = re.compile(r"\s*(?:[-*•·»›>–]\s|\d+[.)]\s|\|)")
+_TRAIL = re.compile(r"\s*[»›>/|·]\s*")
+_SENTENCE_END = re.compile(r"[.;:?!。][\"')\]]*\Z")
+_NAMES = re.compile(r"(?:[^\W\d_a-z][\w'’.-]*\s*){1,4}\Z")
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     text: str
     key: str  # letters, decoration and the site's name masked
@@ -56,23 +57,25 @@ def read_line(raw: str, site: str) -> Line | None:
     key = _LETTERS.sub("", bare.casefold())
     if len(site) > 3:
         key = key.replace(site, "@")
-    words = bare.split()
-    ends = bool(_SENTENCE_END.search(text)) and not text.endswith("!")
-    sentence = (ends and len(words) >= 8) or len(words) > 24 or "。" in text
+    n_words = bare.count(" ") + 1 if "  " not in bare and "\t" not in bare else len(bare.split())
+    ends = not text.endswith("!") and bool(_SENTENCE_END.search(text, max(0, len(text) - 4)))
+    paths = ["line:" + key] if key else ["mark:" + "".join(c for c in bare[:40] if not c.isspace())[:8]]
     heading = bool(_HEADING.match(raw))
+    if (ends and n_words >= 8) or n_words > 24 or "。" in text:
+        return Line(text, key, paths, True, heading, False)
     listed = bool(_LIST.match(raw))
-    titled = not ends and not heading and not listed and 2 <= len(words) <= 14 and not any(c in bare for c in "|»›·") and not bare.startswith("©")
-    paths = ["line:" + key] if key else ["mark:" + "".join(c for c in bare if not c.isspace())[:8]]
-    parts = [p for p in _TRAIL.split(bare) if p]
-    if len(parts) > 1 and not sentence and " " + parts[0] != " " + bare:
+    titled = not ends and not heading and not listed and 2 <= n_words <= 14 and not any(c in bare for c in "|»›·") and not bare.startswith("©")
+    parts = [p for p in _TRAIL.split(bare) if p] if any(c in bare for c in "»›>/|·") else []
+    if len(parts) > 1:
         paths.append("trail:" + _LETTERS.sub("", parts[0].casefold()))
-    rest = bare.split(maxsplit=1)
-    if len(rest) == 2 and len(words) <= 5 and not ends and not any(c.isdigit() for c in bare):
-        if _NAMES.fullmatch(rest[1]) and (len(words) > 2):
-            paths.append("by:" + rest[0].casefold())
-    if sum(c.isdigit() for c in bare) >= 4 and len(words) <= 12 and not sentence and not listed and not heading:
-        paths.append("dated:" + " ".join(_LETTERS.sub("", w.casefold()) for w in words[:2]))
-    return Line(text, key, paths, sentence, heading, titled)
+    digits = sum(map(str.isdigit, bare))
+    if 2 < n_words <= 5 and not ends and not digits:
+        first, rest = bare.split(maxsplit=1)
+        if _NAMES.match(rest):
+            paths.append("by:" + first.casefold())
+    if digits >= 4 and n_words <= 12 and not listed and not heading:
+        paths.append("dated:" + " ".join(_LETTERS.sub("", w.casefold()) for w in bare.split()[:2]))
+    return Line(text, key, paths, False, heading, titled)
 
 
 def title_line(lines: list[Line | None], url: str | None) -> int | None:
@@ -91,8 +94,6 @@ def title_line(lines: list[Line | None], url: str | None) -> int | None:
 
 
 def _fold(key: str) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFKD", key) if not unicodedata.combining(c))
 
 
@@ -162,8 +163,7 @@ def label(text: str, host: str | None, url: str | None, paths: set[str], openers
     for n, line in enumerate(lines):
         if line is None or n == title:
             continue
-        trail = [p for p in _TRAIL.split(line.text) if p]
-        if name and len(trail) > 1 and not line.sentence and line.key != name and line.key.endswith(name):
+        if name and not line.sentence and line.key != name and line.key.endswith(name) and len([p for p in _TRAIL.split(line.text) if p]) > 1:
             marked.add(n)
         elif not line.heading and any(p in paths for p in line.paths):
             if any(p in openers for p in line.paths):

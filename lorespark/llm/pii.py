@@ -79,8 +79,9 @@ FILE_ENDS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "zip", "js", "cs
 
 # ---------------------------------------------------------------- shapes
 
-_DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)"
-EMAIL = re.compile(rf"(?<![\w@/.])\w(?:[\w.+'’%-]*[\w+])?(?:(?:@|\s?[(\[{{]\s?at\s?[)\]}}]\s?)[\w-]+(?:{_DOT}[\w-]+)*{_DOT}|\sat\s[\w-]+(?:(?:\.|\sdot\s)[\w-]+)*\sdot\s)[^\W\d_]{{2,}}\b", re.I)
+_DOT = r"(?:\.|\sdot\s|\s?[(\[{]\s?dot\s?[)\]}]\s?)"
+_LOCAL = r"\w(?:[\w.+'’%-]*[\w+])?(?:(?:\sdot\s|\s?[(\[{]\s?dot\s?[)\]}]\s?)\w(?:[\w.+'’%-]*[\w+])?)*"
+EMAIL = re.compile(rf"(?<![\w@/.]){_LOCAL}(?:(?:\s?@\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?)[\w-]+(?:{_DOT}[\w-]+)*{_DOT}|\sat\s[\w-]+(?:(?:\.|\sdot\s)[\w-]+)*\sdot\s)[^\W\d_]{{2,}}\b(?!\sat\s)", re.I)
 #: Where digits are dense enough to be looked at.
 DIGITS = re.compile(r"[+(]?\d[\d ()./+-]{5,}[\dA-Za-z]?(?:[A-Z0-9 ]{4,})?")
 _AT = re.compile(r"@|[(\[{]\s?[aA][tT]\s?[)\]}]|(?<=[\w]) [aA][tT] (?=[\w.-]+ [dD][oO][tT] |\w+\.\w+ [dD][oO][tT] )")
