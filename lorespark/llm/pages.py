@@ -61,6 +61,8 @@ def read_line(raw: str, site: str) -> Line | None:
     ends = not text.endswith("!") and bool(_SENTENCE_END.search(text, max(0, len(text) - 4)))
     paths = ["line:" + key] if key else ["mark:" + "".join(c for c in bare[:40] if not c.isspace())[:8]]
     heading = bool(_HEADING.match(raw))
+    if text.startswith("|") and text.endswith("|") and len(text) > 2:
+        return Line(text, key, [], False, False, False)  # a table row is content, however often it occurs
     if (ends and n_words >= 8) or n_words > 24 or "。" in text:
         return Line(text, key, paths, True, heading, False)
     listed = bool(_LIST.match(raw))
