@@ -25,6 +25,21 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str, tota
     return found_hot.unionByName(found_cold.select(found_hot.columns))
 
 
+def first_rows(rows: DataFrame, key: str, order: list[str], last: bool = False) -> DataFrame:
+    """The first row of each non-null key by ``order`` (nulls first), or the last; rows that are equal in all of these all stay.
+
+    Only keys and order are aggregated, map-side first; the join back is on all of them, so the rows of a key that is met very often are
+    spread over the tasks.
+    """
+    pick = F.max if last else F.min
+    known = rows.where(F.col(key).isNotNull())
+    chosen = known.groupBy(F.col(key).alias("_key")).agg(pick(F.struct(*order)).alias("_order")).select("_key", *[F.col(f"_order.{c}").alias(f"_{c}") for c in order])
+    same = F.col(key) == F.col("_key")
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return known.join(chosen, same, "left_semi")
+
+
 #: Rows of a few hundred bytes that may be sent to every task.
 SMALL = 200_000
 

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
+from lorespark.operators.skew import first_rows
 from lorespark.plans.durable import durable
 from lorespark.sources.tables import table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """First arrivals by id, with their place in the order of arrival."""
-    rows = table(spark, d, "knowledge_chunks", "id", "batch_no", "pos", "text", "source_name", "source_type", "chunk_type", "parent_id").where("id IS NOT NULL")
-    first = rows.groupBy("id").agg(F.min("pos").alias("first"))
-    return rows.join(first, "id").where("pos = first").withColumnRenamed("first", "place")
+    rows = table(spark, d, "knowledge_chunks", "id", "batch_no", "pos", "text", "source_name", "source_type", "chunk_type", "parent_id")
+    return first_rows(rows, "id", ["pos"]).withColumn("place", F.col("pos"))
 
 
 def edges_parent(spark, d):

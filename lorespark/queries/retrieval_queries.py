@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import EXPANSIONS, decompose_query, expand_query
 from lorespark.operators import search as S
+from lorespark.operators.skew import first_rows
 from lorespark.sources.tables import table
 
 DIM = 96
@@ -14,9 +15,7 @@ DIM = 96
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """The first arrival of every chunk id that has a text."""
-    rows = table(spark, d, "knowledge_chunks").where("text IS NOT NULL AND id IS NOT NULL")
-    first = rows.groupBy("id").agg(F.min(F.struct("batch_no", "pos")).alias("first"))
-    return rows.join(first, "id").where(F.struct("batch_no", "pos") == F.col("first")).drop("first")
+    return first_rows(table(spark, d, "knowledge_chunks").where("text IS NOT NULL"), "id", ["batch_no", "pos"])
 
 
 def _queries(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.operators.skew import first_rows
 from lorespark.operators.suite import flattened
 
 
@@ -20,8 +21,7 @@ def upserted(store: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key by ``order``; combined before the shuffle, so repeats of one key cost nothing."""
-    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
-    return rows.join(last, key).where(F.struct(*order) == F.col("_last")).drop("_last").dropDuplicates([key])
+    return first_rows(rows, key, order, last=True).dropDuplicates([key])
 
 
 def manifest(files: DataFrame, name_col: str, content_col: str) -> DataFrame:
