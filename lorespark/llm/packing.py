@@ -2,13 +2,13 @@
 
 Sizes are tokens of a public tokenizer, counted in Arrow batches. A document larger than the capacity is divided, and only then;
 its full pieces are full containers, its rest is an item like any other. Items are routed to tiers by size (tier 0: more than half
-the capacity, tier 1: more than a quarter, and so on). Only (id, size) rows are shuffled, into shards that a hash of the id keeps
+the capacity, tier 1: more than a quarter, and so on). Only (id, size) rows are shuffled, into shards that a hash keeps
 at about ``shard_items`` each, so that no task sees an unbounded group however large the corpus. In a shard the longest tier opens the
 containers, each shorter tier first fills the gaps that are left (best fit, largest item first) and then opens containers of its own.
 Containers are then dealt to step groups in a snake by their attention cost, so that the groups take equally long.
 
 Sharding costs at most one badly filled container a shard. Defined results: null and token-free texts are left out; repeated ids
-are packed once each row; ties break by id, so results do not depend on the order of the input.
+are packed once each row; ties break by id. Shards depend on the order of the table of sizes, which is written before it is packed.
 """
 
 from __future__ import annotations
@@ -108,5 +108,6 @@ def pack(sizes: DataFrame, capacity: int = 2048, tiers: int = 5, groups: int = 8
         ]
         return pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])
 
-    sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).cast("int"))
+    # the place of the row is hashed too, so that an id which is given very often doesn't own a shard
+    sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     return sharded.groupBy("shard").applyInPandas(pack_group, PACKED)

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ _SENTENCE_END = re.compile(r"[.;:?!。][\"')\]]*\Z")
 _NAMES = re.compile(r"(?:[^\W\d_a-z][\w'’.-]*\s*){1,4}\Z")
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, frozen=True)
 class Line:
     text: str
     key: str  # letters, decoration and the site's name masked
@@ -49,6 +50,7 @@ class Line:
     titled: bool  # looks like a title: short, no sentence end
 
 
+@lru_cache(20_000)  # menus and footers are read once a task
 def read_line(raw: str, site: str) -> Line | None:
     text = raw.replace("\xa0", " ").strip()
     if not text:
@@ -115,12 +117,15 @@ def page_votes(pages: DataFrame) -> DataFrame:
             for host, page, url, text in zip(batch["host"], batch["page"], batch["page_url"], batch["text"], strict=True):
                 lines = [read_line(x, _site(host)) for x in text.split("\n")]
                 title, seen = title_line(lines, url), {}
+                before = None
                 for n, line in enumerate(lines):
-                    if not line or line.heading or n == title:
+                    if not line:
+                        continue
+                    led, before = before is not None and before.titled, line
+                    if line.heading or n == title:
                         continue
                     after = lines[n + 1 : n + 3]
-                    before = next((x for x in reversed(lines[:n]) if x), None)
-                    opens = int(len(after) == 2 and all(x and x.titled for x in after) and title not in (n + 1, n + 2) and not (before and before.titled))
+                    opens = int(not led and len(after) == 2 and all(x and x.titled for x in after) and title not in (n + 1, n + 2))
                     for path in line.paths:
                         old = seen.get(path, (0, 0))
                         seen[path] = (max(opens, old[0]), int(line.sentence))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm.splitting import split_oversized
+from lorespark.operators.skew import first_rows
 from lorespark.sources.tables import table
 
 
@@ -15,8 +16,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "raw_documents", "raw_id", "text")
     chunks = table(spark, d, "knowledge_chunks", "id", "batch_no", "pos", "text")
     chunks = chunks.where(F.char_length("text") > limits["knowledge_chunk"][0])
-    first = chunks.groupBy("id").agg(F.min(F.struct("batch_no", "pos")).alias("first"))
-    chunks = chunks.join(first, "id").where(F.struct("batch_no", "pos") == F.col("first"))
+    chunks = first_rows(chunks, "id", ["batch_no", "pos"])
     return split_oversized(docs, "raw_document", F.col("raw_id"), F.col("text"), *limits["raw_document"]).unionByName(
         split_oversized(chunks, "knowledge_chunk", F.col("id"), F.col("text"), *limits["knowledge_chunk"])
     )
