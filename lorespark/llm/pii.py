@@ -125,14 +125,14 @@ ADDRESSES = [(marks.split("|"), where, pattern) for marks, where, pattern in ADD
 _CAP = r"[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’](?=[^\W\d_]))+)?"
 #: Two capitalised words, or an initial and one, perhaps with a middle initial or turned round by a comma; matches may overlap.
 PAIR = re.compile(rf"(?<![\w@.'’-])(?=(({_CAP}|[^\W\d_a-zß-öø-ÿ]\.)(,?[ \xa0\u2009\u202f]{{1,3}})([^\W\d_a-zß-öø-ÿ]\.[ \xa0]{{1,3}})?({_CAP})(?![\w@])))[^\W\d_a-z]")
-_GIVEN_BEFORE = re.compile(rf"(?<![\w@.'’-])(?!(?i:per|mme|frau|herr|from|by|for|ms|mr|mrs|the|von|durch|par|por|con)\b){_CAP}[ \xa0]{{1,3}}\Z")
+_GIVEN_BEFORE = re.compile(rf"(?<![\w@.'’-])({_CAP})[ \xa0]{{1,3}}\Z")
 #: Capitalised words that begin sentences or carry titles, never part of a name.
 NOT_NAMES = frozenset(
     "the a an in on at of for from to by per with check it if when after before between nobody earlier every each with owner reported signed contact please ask reviewer ms mr mrs dr frau herr herrn mme "
     "madame monsieur sr sra thanks regards test expected observed steps scope session ship order build counter requirement package icon see section appendix rollback release note open points "
     "copie copia merci rappeler llamar tel tél le la les el los las un une una der die das ein eine und et y von van durch par por con an am im nach wenn zu offen der freigabe gemeldet signalé validé aprobado "
     "lo consultar rückfragen bitte ausweisnummer passport national identity number id po box flat unit street close lane way ave avenue rd road north old south east west calle plaza avda rue boulevard impasse "
-    "gateway job field background preconditions but and or not as is this that there here he she they we you i danke grüße gruß saludos gracias cordialement".split()
+    "gateway job field background preconditions but and or not as is this that there here he she they we you i danke grüße gruß saludos gracias cordialement testperson tester kunde kundin nutzer clerk session".split()
 )
 
 
@@ -233,7 +233,8 @@ def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tu
         initial, turned = first[1:2] == ".", "," in m.group(3)
         if turned and (initial or middle):
             continue
-        if initial and _GIVEN_BEFORE.search(text, max(0, start - 25), start):
+        given = _GIVEN_BEFORE.search(text, max(0, start - 25), start) if initial else None
+        if given and given.group(1).casefold() not in NOT_NAMES:
             continue  # a middle initial
         one, two = names.kind(first), names.kind(last)
         g, f = (two[0], one[1]) if turned else (0.4 if initial else one[0], two[1])

@@ -29,6 +29,7 @@ NAMES = pii.Names.of([(n, "family") for n in ("Haskerby", "Draymere", "Naskerby"
         ("Signed off: Luna Haskerby", [("name", "Luna Haskerby")]),
         ("Reported by Grace R. Toverby, phone", [("name", "Grace R. Toverby")]),
         ("Per Fennmere, Talisse this is", [("name", "Fennmere, Talisse")]),
+        ("Die Testperson P. Toverby wohnt", [("name", "P. Toverby")]),
         ("attention P. DRAYMERE", [("name", "P. DRAYMERE")]),
         ("Will Case 14 run before Page 2 loads?", []),
         ("", []),
