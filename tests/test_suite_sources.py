@@ -138,3 +138,23 @@ def test_config(tmp_path):
     got = config.load(str(path), {"LORESPARK_RETRIEVAL_TOP_K": "7", "LORESPARK_QUALITY_SEMANTIC_THRESHOLD": "0.5"})
     assert got["retrieval"]["top_k"] == 7 and got["quality"]["semantic_threshold"] == 0.5 and "unknown" not in got["retrieval"]
     assert config.load(str(tmp_path / "none.json"), {}) == config.DEFAULTS
+
+
+def test_durable_tables_can_be_released(spark):
+    from lorespark.plans.durable import durable, release
+
+    kept = durable(spark.range(5))
+    files = kept.inputFiles()
+    assert kept.count() == 5 and files
+    release(kept)
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    assert not Path(urlparse(files[0]).path).exists()
+
+
+def test_first_rows(spark):
+    from lorespark.operators.skew import first_rows
+
+    df = spark.createDataFrame([("a", 2, 1), ("a", None, 5), ("b", 1, 1), ("b", 1, 1), (None, 0, 0)], "id STRING, batch INT, pos INT")
+    assert sorted(map(tuple, first_rows(df, "id", ["batch", "pos"]).collect()), key=str) == [("a", None, 5), ("b", 1, 1), ("b", 1, 1)]
