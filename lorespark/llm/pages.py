@@ -31,7 +31,9 @@ from lorespark.plans.durable import durable
 
 SHARE, SENTENCE_SHARE, LEAST_PAGES, LEAST_HOSTS, OPENER_SHARE = 0.06, 0.15, 3, 4, 0.4
 
-_DECOR = re.compile(r"^[\s»›•*·\-–>]+|[\s»›!]+$|\s*\(\d+\)\s*$")
+_LEAD, _TAIL = " \t\r\u2009\u200b\ufeff»›•*·-–>", " \t\r\u2009\u200b»›!"
+_COUNT = re.compile(r"\s*\(\d+\)\Z")
+_NO_LETTER = {c: None for c in range(128) if not chr(c).isalpha()}
 _LETTERS = re.compile(r"[\W\d_]+")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|\d+(?:\.\d+)+\s)")
 _LIST = re.compile(r"\s*(?:[-*•·»›>–]\s|\d+[.)]\s|\|)")
@@ -50,13 +52,20 @@ class Line:
     titled: bool  # looks like a title: short, no sentence end
 
 
+def _key(text: str) -> str:
+    """The case-folded letters of the text."""
+    return text.lower().translate(_NO_LETTER) if text.isascii() else _LETTERS.sub("", text.casefold())
+
+
 @lru_cache(20_000)  # menus and footers are read once a task
 def read_line(raw: str, site: str) -> Line | None:
     text = raw.replace("\xa0", " ").strip()
     if not text:
         return None
-    bare = _DECOR.sub("", _DECOR.sub("", text))
-    key = _LETTERS.sub("", bare.casefold())
+    bare = text.lstrip(_LEAD).rstrip(_TAIL)
+    if bare.endswith(")"):
+        bare = (bare[:-12] + _COUNT.sub("", bare[-12:])).rstrip(_TAIL)
+    key = _key(bare)
     if len(site) > 3:
         key = key.replace(site, "@")
     n_words = bare.count(" ") + 1 if "  " not in bare and "\t" not in bare else len(bare.split())
@@ -71,14 +80,14 @@ def read_line(raw: str, site: str) -> Line | None:
     titled = not ends and not heading and not listed and 2 <= n_words <= 14 and not any(c in bare for c in "|»›·") and not bare.startswith("©")
     parts = [p for p in _TRAIL.split(bare) if p] if any(c in bare for c in "»›>/|·") else []
     if len(parts) > 1:
-        paths.append("trail:" + _LETTERS.sub("", parts[0].casefold()))
+        paths.append("trail:" + _key(parts[0]))
     digits = sum(map(str.isdigit, bare))
     if 2 < n_words <= 5 and not ends and not digits:
         first, rest = bare.split(maxsplit=1)
         if _NAMES.match(rest):
             paths.append("by:" + first.casefold())
     if digits >= 4 and n_words <= 12 and not listed and not heading:
-        paths.append("dated:" + " ".join(_LETTERS.sub("", w.casefold()) for w in bare.split()[:2]))
+        paths.append("dated:" + " ".join(map(_key, bare.split()[:2])))
     return Line(text, key, paths, False, heading, titled)
 
 
@@ -101,6 +110,7 @@ def _fold(key: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", key) if not unicodedata.combining(c))
 
 
+@lru_cache(1000)
 def _site(host: str | None) -> str:
     return _LETTERS.sub("", (host or "").split(".")[0].casefold())
 
