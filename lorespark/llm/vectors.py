@@ -8,7 +8,8 @@ sqrt((1 - f^2) / (f^2 (D - 1))). Pairs whose bound reaches the floor, and the k-
 Routing keeps the work below all pairs: ``lists`` centroids (fitted on at most SAMPLE vectors, chosen by a hash of the id) cut the
 sphere into lists; every code is filed under its ``spread`` nearest centroids, a query visits its nearest one. A list that is larger
 than a block is cut into blocks by a hash, codes and queries alike, so no group outgrows a task. Every vector is filed, none is
-capped. Groups of exact copies are one vector in the index; copies are each other's nearest without being compared.
+capped: a query for which codes cannot tell a crowd of neighbours apart is compared with the whole vectors of the block, which
+pass on only its ``k`` best. Groups of exact copies are one vector in the index; copies are each other's nearest without being compared.
 
 Defined results: null, wrong-length, all-zero and non-finite vectors are left out; an id that comes again counts once, at its first
 position; ties of the similarity (six decimals) go to the smaller position; an empty table gives an empty result.
@@ -29,6 +30,8 @@ from lorespark.plans.durable import durable
 
 SAMPLE = 20_000
 CODES_A_BLOCK, QUERIES_A_BLOCK = 40_000, 8_000
+#: A query that a block answers with more candidates than this (with a floor, without one) is compared with the whole vectors there.
+CROWD = (64, 2_000)
 
 
 def usable_vectors(df: DataFrame, id_col: str, pos_cols: list[str], vector_col: str, dim: int) -> DataFrame:
@@ -116,45 +119,69 @@ def ask(nodes: DataFrame, rotation: Rotation, dim: int) -> DataFrame:
     return nodes.select("vid", "embedding").mapInArrow(run, ASKED)
 
 
-def candidates(codes: DataFrame, asked: DataFrame, dim: int, k: int, floor: float, eps: float) -> DataFrame:
-    """(q, o, est, slack): pairs whose bound reaches ``floor`` and the k-th best estimate of the query in the block."""
-    # one row a list; the number of lists is a parameter, so this is bounded
-    n_codes = dict(codes.groupBy("list").count().collect())
-    n_asked = dict(asked.groupBy("list").count().collect())
-    cuts = codes.sparkSession.createDataFrame(
-        [(x, -(-n_codes[x] // CODES_A_BLOCK), -(-n_asked[x] // QUERIES_A_BLOCK)) for x in n_asked if x in n_codes], "list INT, code_cuts INT, query_cuts INT"
-    )
-    cuts = F.broadcast(cuts)
+def placed(nodes: DataFrame, rotation: Rotation, dim: int, spread: int) -> DataFrame:
+    """(list, vid, embedding): the whole vectors under the lists that :func:`encode` files them under."""
+    lists = encode(nodes, rotation, dim, spread).select("list", "vid")
+    return lists.join(nodes.select("vid", "embedding"), "vid")
+
+
+def _blocks(codes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(list, code_cuts, query_cuts); one row a list, and the number of lists is a parameter, so this is small."""
+    n_codes, n_asked = codes.groupBy("list").agg(F.count("*").alias("n")), asked.groupBy("list").agg(F.count("*").alias("m"))
+    cuts = [(r.list, -(-r.n // CODES_A_BLOCK), -(-r.m // QUERIES_A_BLOCK)) for r in n_codes.join(n_asked, "list").collect()]
+    return F.broadcast(codes.sparkSession.createDataFrame(cuts, "list INT, code_cuts INT, query_cuts INT"))
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, cuts: DataFrame, compare, schema: str) -> DataFrame:
+    """Every block of codes with every block of queries of its list."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
-    left = codes.join(cuts, "list").select("list", own("code_cuts").alias("cb"), every("query_cuts").alias("qb"), "vid", "code", "f")
-    right = asked.join(cuts, "list").select("list", every("code_cuts").alias("cb"), own("query_cuts").alias("qb"), "vid", "query", "scale")
+    rest = lambda df: [c for c in df.columns if c != "list"]
+    left = left.join(cuts, "list").select("list", own("code_cuts").alias("cb"), every("query_cuts").alias("qb"), *rest(left))
+    right = right.join(cuts, "list").select("list", every("code_cuts").alias("cb"), own("query_cuts").alias("qb"), *rest(right))
+    keys = ["list", "cb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
 
-    def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(c) and len(q):
-            bits = np.unpackbits(np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1), axis=1)[:, :dim]
-            signs = bits.astype(np.float32) * 2 - 1
-            f = c["f"].to_numpy(np.float32)
-            signs /= (f * np.sqrt(dim))[:, None]
-            dev = eps * np.sqrt(np.maximum(1 - f * f, 0) / (f * f * (dim - 1)))
-            turned = np.frombuffer(b"".join(q["query"]), np.int8).reshape(len(q), dim).astype(np.float32) * q["scale"].to_numpy(np.float32)[:, None]
-            c_id, q_id = c["vid"].to_numpy(), q["vid"].to_numpy()
-            step = max(1, 8_000_000 // len(c))
-            tail = float(np.sqrt(1 - min(max(floor, 0.0), 1.0) ** 2))
-            for s in range(0, len(q), step):
-                est = turned[s : s + step] @ signs.T
-                least = np.full(len(est), floor, np.float32)
-                if len(c) > k + 1:  # one of the k + 1 best may be the query itself
-                    least = np.maximum(least, np.partition(est, len(c) - k - 1, axis=1)[:, len(c) - k - 1]) if floor <= 0 else least
-                a, b = np.nonzero(est >= least[:, None] - dev * (tail if floor > 0 else 1.0))
-                keep = q_id[s + a] != c_id[b]
-                a, b = a[keep], b[keep]
-                out.append(pd.DataFrame({"q": q_id[s + a], "o": c_id[b], "est": est[a, b], "slack": dev[b]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "o": [], "est": [], "slack": []}).astype({"q": "int64", "o": "int64", "est": "float32", "slack": "float32"})
 
-    keys = ["list", "cb", "qb"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "q BIGINT, o BIGINT, est FLOAT, slack FLOAT")
+PAIRS = "q BIGINT, o BIGINT, est FLOAT, slack FLOAT"
+_NO_PAIRS = pd.DataFrame({"q": [], "o": [], "est": [], "slack": []}).astype({"q": "int64", "o": "int64", "est": "float32", "slack": "float32"})
+
+
+def candidates(nodes: DataFrame, askers: DataFrame, rotation: Rotation, dim: int, k: int, spread: int, floor: float, eps: float) -> DataFrame:
+    """``PAIRS`` whose bound reaches ``floor`` and the k-th best estimate of the query."""
+    codes, asked = encode(nodes, rotation, dim, spread), ask(askers, rotation, dim)
+    crowd = CROWD[0] if floor > 0 else CROWD[1]
+
+    def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(q):
+            return _NO_PAIRS
+        bits = np.unpackbits(np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1), axis=1)[:, :dim]
+        f = c["f"].to_numpy(np.float32)
+        signs = (bits.astype(np.float32) * 2 - 1) / (f * np.sqrt(dim))[:, None]
+        dev = eps * np.sqrt(np.maximum(1 - f * f, 0) / (f * f * (dim - 1)))
+        turned = np.frombuffer(b"".join(q["query"]), np.int8).reshape(len(q), dim).astype(np.float32) * q["scale"].to_numpy(np.float32)[:, None]
+        c_id, q_id, out = c["vid"].to_numpy(), q["vid"].to_numpy(), []
+        tail = float(np.sqrt(1 - min(floor, 1.0) ** 2)) if floor > 0 else 1.0
+        step = max(1, 8_000_000 // len(c))
+        for s in range(0, len(q), step):
+            est, ids = turned[s : s + step] @ signs.T, q_id[s : s + step]
+            least = np.full(len(est), floor, np.float32)
+            if floor <= 0 and len(c) > k + 1:  # one of the k + 1 best may be the query itself
+                least = np.maximum(least, np.partition(est, len(c) - k - 1, axis=1)[:, len(c) - k - 1])
+            met = est >= least[:, None] - dev * tail
+            crowded = met.sum(1) > crowd
+            met[crowded] = False
+            a, b = np.nonzero(met)
+            keep = ids[a] != c_id[b]
+            a, b = a[keep], b[keep]
+            out.append(pd.DataFrame({"q": ids[a], "o": c_id[b], "est": est[a, b], "slack": dev[b]}))
+            out.append(pd.DataFrame({"q": ids[crowded], "o": ids[crowded], "est": np.float32(0), "slack": np.float32(0)}))  # marks, not pairs
+        return pd.concat(out)
+
+    met = durable(_cogrouped(codes, asked, _blocks(codes, asked), compare, PAIRS))
+    pairs, marks = met.where("q <> o"), met.where("q = o").select(F.col("q").alias("vid")).distinct()
+    if not marks.isEmpty():
+        pairs = pairs.unionByName(_exact_in_lists(nodes, askers.join(marks, "vid", "left_semi"), rotation, dim, k, spread, floor))
     if floor > 0:
         return pairs
     # the k-th best over all blocks is sharper than that of one block
@@ -164,6 +191,31 @@ def candidates(codes: DataFrame, asked: DataFrame, dim: int, k: int, floor: floa
     return ranked.withColumn("kth", kth).where("est + slack >= kth").select("q", "o", "est", "slack")
 
 
+def _exact_in_lists(nodes: DataFrame, askers: DataFrame, rotation: Rotation, dim: int, k: int, spread: int, floor: float) -> DataFrame:
+    """``PAIRS`` of each asker with its ``k`` best of every block of its list, by the whole vectors."""
+    at = placed(askers, rotation, dim, 1)
+    lists = at.select("list").distinct()  # as many as there are lists at most
+    stored = placed(nodes, rotation, dim, spread).join(F.broadcast(lists), "list", "left_semi")
+
+    def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(q):
+            return _NO_PAIRS
+        u, v = (np.stack(x["embedding"].to_numpy()).astype(np.float32) for x in (c, q))
+        u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (u, v))
+        c_id, q_id, out = c["vid"].to_numpy(), q["vid"].to_numpy(), []
+        most, step = min(k + 1, len(c)), max(1, 8_000_000 // len(c))
+        for s in range(0, len(q), step):
+            cos, ids = v[s : s + step] @ u.T, q_id[s : s + step]
+            b = np.argpartition(-cos, most - 1, axis=1)[:, :most]
+            a = np.repeat(np.arange(len(cos)), most)
+            b = b.ravel()
+            keep = (ids[a] != c_id[b]) & (cos[a, b] >= floor - 1e-4)
+            out.append(pd.DataFrame({"q": ids[a[keep]], "o": c_id[b[keep]], "est": cos[a[keep], b[keep]], "slack": np.float32(1e-5)}))
+        return pd.concat(out)
+
+    return _cogrouped(stored, at, _blocks(stored, at), compare, PAIRS)
+
+
 def rerank(pairs: DataFrame, nodes: DataFrame, dim: int, floor: float) -> DataFrame:
     """(a, b, cos), a < b, once a pair, with the exact cosine to six decimals."""
     once = pairs.select(F.least("q", "o").alias("a"), F.greatest("q", "o").alias("b")).distinct()
@@ -195,7 +247,7 @@ def nearest(
     if asking:
         wanted = members.where(asking).select("copy_key").distinct()
         askers = nodes.join(wanted, "copy_key", "left_semi")
-    pairs = candidates(encode(nodes, rotation, dim, spread), ask(askers, rotation, dim), dim, k, floor, eps)
+    pairs = candidates(nodes, askers, rotation, dim, k, spread, floor, eps)
     links = durable(rerank(pairs, nodes, dim, floor))
 
     # the k + 1 first members of every class: enough for any ranking, whatever the size of the class

@@ -23,7 +23,7 @@ def test_recall_of_flat_search(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, DIM))
     best, _ = brute(v, 5)
-    got = nearest(frame(spark, [(str(i), i, x.tolist()) for i, x in enumerate(v)]), DIM, 5, lists=1, spread=1, eps=2.0, asking="pos.pos % 10 = 0").collect()
+    got = nearest(frame(spark, [(str(i), i, x.tolist()) for i, x in enumerate(v)]), DIM, 5, lists=1, spread=1, eps=3.0, asking="pos.pos % 10 = 0").collect()
     hit = sum(int(r.other_id) in best[int(r.id)] for r in got)
     assert len(got) == 750 and hit / 750 >= 0.95
 
@@ -48,3 +48,14 @@ def test_unusable_copies_and_ties(spark):
         by.setdefault(r.id, []).append(r.other_id)
     assert by["c0"] == ["c1", "c2", "c3"] and by["c8"] == ["c0", "c1", "c2"] and by["n"] == ["c0", "c1", "c2"] and set(by) == {f"c{i}" for i in range(9)} | {"n"}
     assert nearest(frame(spark, rows[:0]), DIM, 3, lists=4, spread=2, floor=0.85).isEmpty()
+
+
+def test_crowds_are_told_apart_by_whole_vectors(spark):
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=DIM) + 0.05 * rng.normal(size=(400, DIM))
+    v = np.concatenate([tight, rng.normal(size=(200, DIM))])
+    best, cos = brute(v, 5)
+    want = {(i, int(j)) for i in range(len(v)) for j in best[i] if cos[i, j] >= 0.85}
+    near = nearest(frame(spark, [(str(i), i, x.tolist()) for i, x in enumerate(v)]), DIM, 5, lists=4, spread=4, floor=0.85, eps=4.0)
+    got = {(int(r.id), int(r.other_id)) for r in near.collect()}
+    assert len(got) == 2000 and len(got & want) >= 0.98 * len(want)
