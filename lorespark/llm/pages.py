@@ -11,7 +11,7 @@ lines on a winning path are furniture, as are the titles under a winning opener;
 paragraphs stay. Votes are combined before each shuffle, and a host that owns a third of all pages joins its paths by broadcast.
 
 Defined results: null and blank texts give no lines; a page without a host votes with its source name, or alone; pages fetched again
-vote once; blank lines are never furniture; line numbers count from 1 over all lines.
+and equal texts under several addresses of a host vote once; blank lines are never furniture; line numbers count from 1 over all lines.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.operators.graph import components
 from lorespark.operators.skew import attach_by_key
 from lorespark.plans.durable import durable
 
@@ -206,14 +207,26 @@ def label(text: str, host: str | None, url: str | None, paths: set[str], openers
     return [n + 1 for n in sorted(marked)]
 
 
+def _voters(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``page``, the same for rows of a host that share their address or their text, directly or through others."""
+    pages = pages.withColumn("page", F.xxhash64("host", F.coalesce("page_url", F.col("raw_id").cast("string"))))
+    # hashes only, combined before the shuffle
+    seen = pages.select("host", F.xxhash64("text").alias("same"), "page")
+    texts = seen.groupBy("host", "same").agg(F.min("page").alias("first"), F.max("page").alias("other")).where("first < other").select("host", "same", "first")
+    links = durable(seen.join(texts, ["host", "same"]).where("page <> first").select(F.col("first").alias("src"), F.col("page").alias("dst")).distinct())
+    if links.isEmpty():
+        return pages
+    one = components(links, links.select(F.col("src").alias("id"))).withColumnsRenamed({"id": "page", "component": "one"})
+    return pages.join(one, "page", "left").withColumn("page", F.coalesce("one", "page")).drop("one")
+
+
 LABELLED = "raw_id BIGINT, furniture ARRAY<INT>, body STRING"
 
 
 def extract(pages: DataFrame, with_body: bool = True) -> DataFrame:
     """``LABELLED`` of pages with raw_id, page_url, host and text: furniture line numbers, and the text without them."""
     ready = pages.where("raw_id IS NOT NULL AND text IS NOT NULL").withColumn("host", F.coalesce("host", F.concat(F.lit("?"), F.col("raw_id").cast("string"))))
-    ready = ready.withColumn("page", F.xxhash64(F.coalesce("page_url", F.col("raw_id").cast("string"))))
-    won = durable(winning_paths(durable(page_votes(ready))))
+    won = durable(winning_paths(durable(page_votes(_voters(ready)))))
     total = won.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     joined = attach_by_key(ready.select("host", "raw_id", "page_url", "text"), won, "host", "pages", total)
 

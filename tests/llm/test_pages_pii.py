@@ -79,3 +79,12 @@ def test_pages(spark):
         assert got[n].furniture == want
     assert got[100].furniture == [] and got[101].body == "" and 102 not in got
     assert extract(df.limit(0)).isEmpty()
+
+
+def test_an_article_under_several_addresses_is_no_furniture(spark):
+    body = ["A tale of ten gates", "The first gate stands open at noon, and nobody has ever seen it shut.", "Short words only", "It ends where the road begins, at a wall of grey stone and moss."]
+    rows = [(n, f"https://h.example/p{n}", "h.example", f"Menu of things\nOwn line {'abcdefghijkl'[n] * 5}\nWords that only page {'abcdefghijkl'[n] * 7} holds, as nobody else writes such lines.") for n in range(12)]
+    rows += [(100 + n, f"https://h.example/tale?s={n}", "h.example", "\n".join(["Menu of things", *body])) for n in range(6)]
+    got = {r.raw_id: r.body for r in extract(spark.createDataFrame(rows, "raw_id BIGINT, page_url STRING, host STRING, text STRING")).collect()}
+    assert all(got[100 + n].split("\n") == body for n in range(6))
+    assert "Menu" not in got[0]
