@@ -34,12 +34,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folders(spark: SparkSession, *paths: str) -> None:
+    """Delete folders below the shared one."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what :func:`durable` wrote for these frames."""
     for df in frames:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        for file in df.inputFiles()[:1]:
-            folder = hadoop.Path(file).getParent()
-            if folder.getName().startswith("lorespark-"):
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]}
+        delete_folders(df.sparkSession, *(f for f in folders if f.rsplit("/", 1)[-1].startswith("lorespark-")))
