@@ -1,7 +1,7 @@
 """A relation graph of chunks as two tables, nodes and edges.
 
-Edges are unique by (src, dst). A reference to another source is one edge to that source and not to each of its chunks: the chunks of a
-source are its membership, so nothing is lost and nothing multiplies. Entities that more than COMMON chunks have are ignored, which
+Edges are unique by (src, dst). A reference to another source is one edge to a node of that source and not to each of its chunks: the chunks of a
+source are its membership, and walks and components go on through it, so nothing is lost and nothing multiplies. Entities that more than COMMON chunks have are ignored, which
 bounds the pairs of one entity.
 """
 
@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import entities, normal_entity
-from lorespark.operators.skew import small_side
+from lorespark.operators.skew import attach_by_key, small_side
 from lorespark.plans.durable import durable
 
 COMMON, LEAST_SHARED, LEAST_NAME = 50, 2, 4
+SOURCE = "source:"  # what the node of a source begins with
 VARIANTS_A_PASS = 200_000
 
 
@@ -58,12 +59,14 @@ def shared_entity_edges(chunks: DataFrame, least: int = LEAST_SHARED, common: in
 
 
 def source_variants(names: DataFrame) -> DataFrame:
-    """(variant, source_name): the spellings by which a text may name a source: lower case or normalised, whole or without its ending.
+    """(variant, source_name): the spellings by which a text may name a source: lower case or normalised, whole or without its ending,
+    and its ``alias``, if ``names`` has one.
 
     Of several sources with one variant the smallest name counts.
     """
     stem = F.regexp_replace("source_name", r"(?<=.)\.[^.]+$", "")
-    spelt = F.array(F.lower("source_name"), F.lower(stem), normal_entity(F.col("source_name")), normal_entity(stem))
+    alias = [F.lower("alias")] if "alias" in names.columns else []
+    spelt = F.array(F.lower("source_name"), F.lower(stem), normal_entity(F.col("source_name")), normal_entity(stem), *alias)
     out = names.where("source_name IS NOT NULL").select("source_name", F.explode(spelt).alias("variant")).where(F.char_length("variant") >= LEAST_NAME)
     return out.groupBy("variant").agg(F.min("source_name").alias("source_name"))
 
@@ -96,25 +99,42 @@ def source_references(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return found
 
 
+def members(chunks: DataFrame) -> DataFrame:
+    """(src, dst): from the node of each source to its chunks."""
+    return chunks.where("source_name IS NOT NULL").select(F.concat(F.lit(SOURCE), "source_name").alias("src"), F.col("id").alias("dst"))
+
+
 def all_edges(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(src, dst, relation, weight), unique by (src, dst), weight 0 for all but shared_entities: a reference to the source of dst wins over parent_of, same_source and shared_entities."""
+    """(src, dst, relation, weight), unique by (src, dst), weight 0 for all but shared_entities. A reference is an edge to the node of its source, and
+    between two chunks it wins over parent_of, same_source and shared_entities."""
     pairs = parent_edges(chunks).unionByName(neighbour_edges(chunks)).unionByName(shared_entity_edges(chunks))
     order = F.element_at(F.create_map(F.lit("parent_of"), F.lit(1), F.lit("same_source"), F.lit(2), F.lit("shared_entities"), F.lit(3)), F.col("relation"))
     best = pairs.groupBy("src", "dst").agg(F.min(F.struct(order.alias("order"), "relation", "weight")).alias("e")).select("src", "dst", "e.relation", "e.weight")
     dst_source = chunks.select(F.col("id").alias("dst"), F.col("source_name").alias("names_source"))
-    named = source_references(chunks, names).select(F.col("id").alias("src"), "names_source", F.lit(True).alias("named"))
+    references = durable(source_references(chunks, names))
+    named = references.select(F.col("id").alias("src"), "names_source", F.lit(True).alias("named"))
     joined = best.join(dst_source, "dst", "left").join(named, ["src", "names_source"], "left")
     relation = F.when(F.col("named"), F.lit("cross_reference")).otherwise(F.col("relation"))
-    return joined.select("src", "dst", relation.alias("relation"), F.when(F.col("named").isNull(), F.coalesce("weight", F.lit(0))).otherwise(0).alias("weight"))
+    between = joined.select("src", "dst", relation.alias("relation"), F.when(F.col("named").isNull(), F.coalesce("weight", F.lit(0))).otherwise(0).alias("weight"))
+    to_source = references.select(F.col("id").alias("src"), F.concat(F.lit(SOURCE), "names_source").alias("dst"), F.lit("cross_reference").alias("relation"), F.lit(0).cast("bigint").alias("weight"))
+    return between.unionByName(to_source)
 
 
-def related(edges: DataFrame, seeds: DataFrame, hops: int = 2, relation: str | None = None) -> DataFrame:
-    """(id, dist): nodes within ``hops`` of any seed (a table with ``id``), without the seeds; unknown seeds give nothing."""
+def related(edges: DataFrame, seeds: DataFrame, hops: int = 2, relation: str | None = None, belongs: DataFrame | None = None) -> DataFrame:
+    """(id, dist): chunks within ``hops`` of any seed (a table with ``id``), without the seeds; unknown seeds give nothing.
+
+    With ``belongs`` (from :func:`members`) a reference to a source reaches all its chunks in one hop; every source is met once.
+    """
     used = (edges.where(F.col("relation") == relation) if relation else edges).select("src", "dst")
     reached = seeds.select("id").distinct().withColumn("dist", F.lit(0))
     front = reached
     for hop in range(1, hops + 1):
         step = used.join(small_side(front.select(F.col("id").alias("src"))), "src").select(F.col("dst").alias("id")).distinct()
+        if belongs is not None:
+            step = durable(step)
+            sources = step.where(F.col("id").startswith(SOURCE)).select(F.col("id").alias("src"))
+            step = step.union(belongs.join(small_side(sources), "src").select("dst")).distinct()
+        step = step.where(~F.col("id").startswith(SOURCE))
         front = durable(step.join(reached.select("id"), "id", "left_anti").withColumn("dist", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached.where("dist > 0")
@@ -123,18 +143,23 @@ def related(edges: DataFrame, seeds: DataFrame, hops: int = 2, relation: str | N
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest node that each node is connected with, regardless of direction.
 
-    Every round a node takes the smallest label around it and then that label's own label, so a chain of n nodes needs about log n rounds.
+    Every round a node takes the smallest label around it and then that label's own label, so a chain of n nodes needs about log n rounds. A hub
+    and a component that own a large share of the rows stay spread over all tasks (:func:`attach_by_key`).
     """
     both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    degrees = durable(both.groupBy("dst").agg(F.count("*").alias("degree")))
     labels = durable(nodes.select("id").union(both.select("src")).distinct().withColumn("component", F.col("id")))
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
-        seen = both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
-        hooked = labels.join(seen, "id", "left").select("id", "component", F.least("component", "c").alias("new"))
+        known = degrees.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst")
+        seen = attach_by_key(both, known, "dst", "degree", n_edges).groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
+        hooked = durable(labels.join(seen, "id", "left").select("id", "component", F.least("component", "c").alias("new")))
         # what a node's label has learnt is learnt by all that carry the label
-        told = hooked.groupBy("component").agg(F.min("new").alias("told"))
-        jumped = hooked.join(told, "component").select("id", F.least("new", "told").alias("one"), "component")
-        own = jumped.select(F.col("id").alias("one"), F.col("one").alias("two"))
-        new = durable(jumped.join(own, "one", "left").select("id", F.least("one", "two").alias("component"), F.col("component").alias("old")))
+        told = hooked.groupBy("component").agg(F.min("new").alias("told"), F.count("*").alias("n"))
+        jumped = durable(attach_by_key(hooked, told, "component", "n", n_nodes).select("id", F.least("new", "told").alias("one"), "component"))
+        carriers = jumped.groupBy("one").agg(F.count("*").alias("n"))
+        own = jumped.select(F.col("id").alias("one"), F.col("one").alias("two")).join(carriers, "one")
+        new = durable(attach_by_key(jumped, own, "one", "n", n_nodes).select("id", F.least("one", "two").alias("component"), F.col("component").alias("old")))
         labels = new.select("id", "component")
         if new.where("component <> old").isEmpty():
             return labels

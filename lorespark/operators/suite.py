@@ -34,7 +34,7 @@ def first_by_signature(cases: DataFrame, order: list[str]) -> DataFrame:
 
 def priority_rank(priority: Column) -> Column:
     low = F.lower(strip(F.coalesce(priority, F.lit(""))))
-    return F.when(low == "high", 0).when(low == "medium", 1).when(low == "low", 2).otherwise(3)
+    return F.when(low == "high", 0).when(low == "low", 2).otherwise(1)  # an unknown or missing priority counts as medium
 
 
 def prioritised(cases: DataFrame) -> DataFrame:

@@ -58,16 +58,18 @@ def short_suites(spark, d):
 
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
-    """Each case as a model would have written it: fenced, in prose, behind thoughts, under a key, with a trailing comma."""
+    """Each case as a model would have written it: fenced, in prose, behind thoughts, under a key, with a trailing comma, with quotes inside quotes, cut off."""
     cases = _cases(spark, d).where("test_case IS NOT NULL")
     one = F.to_json(F.struct("use_case", "test_case", "priority", "steps", "tags"), {"ignoreNullFields": "false"})
-    kind = F.pmod("case_id", F.lit(5))
+    kind = F.pmod("case_id", F.lit(7))
     raw = (
         F.when(kind == 0, F.concat(F.lit("```json\n["), one, F.lit("]\n```")))
         .when(kind == 1, F.concat(F.lit("Here are the cases:\n["), one, F.lit("]\nDone.")))
         .when(kind == 2, F.concat(F.lit("<think>[maybe]</think>\n"), one))
         .when(kind == 3, F.concat(F.lit('{"test_cases": ['), one, F.lit(",]}")))
-        .otherwise(F.concat(F.lit("["), one))
+        .when(kind == 4, F.concat(F.lit("["), one))
+        .when(kind == 5, F.concat(F.lit('[{"test_case": "cut "here" too", "steps": ['), F.lit('"a"], "x": null}, '), one, F.lit(', {"use_case": "a "cut" off rep')))
+        .otherwise(F.concat(F.lit('{"note": "", "ids": [1], "found": ['), one, F.lit(', {"steps": ["one", "tw')))
     )
     return cases.select("case_id", raw.alias("raw"))
 
@@ -77,7 +79,7 @@ def reply_cases(spark, d):
     cases = J.read_replies(spread(_replies(spark, d)), "raw")
     # an outer generator infers no filter that would repeat the reading below it
     cases = cases.select("case_id", F.explode_outer("cases").alias("c")).where("c IS NOT NULL")
-    return J.typed_cases(cases, "c").select("case_id", "use_case", "test_case", F.size("steps").alias("n_steps"), F.array_join("tags", ",").alias("tags"))
+    return J.typed_cases(cases, "c").where("test_case <> 'cut \"here\" too'").select("case_id", "use_case", "test_case", F.size("steps").alias("n_steps"), F.array_join("tags", ",").alias("tags"))
 
 
 def semantic_pairs(spark, d):
@@ -142,7 +144,7 @@ SELECT case_id, suite_id, test_case FROM (SELECT *, row_number() OVER (PARTITION
     "enum_coerce": f"SELECT case_id, {_TYPE} AS test_type, {_PRIO} AS priority FROM test_cases",
     "prioritize": f"""
 SELECT case_id, suite_id, row_number() OVER (PARTITION BY suite_id ORDER BY
-  CASE {_LOW.format("coalesce(priority, '')")} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, coalesce(len(dependencies), 0), coalesce(pos, -1), case_id) AS place
+  CASE {_LOW.format("coalesce(priority, '')")} WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, coalesce(len(dependencies), 0), coalesce(pos, -1), case_id) AS place
 FROM test_cases WHERE suite_id IS NOT NULL""",
     "missing_dependencies": """
 SELECT DISTINCT suite_id, case_id, dependency FROM (SELECT suite_id, case_id, unnest(dependencies) AS dependency FROM test_cases WHERE suite_id IS NOT NULL) x

@@ -71,3 +71,20 @@ def test_attach_hot_key(spark):
     out = attach_by_key(rows, facts, "k", "n", 3000)
     assert out.count() == 3000 and out.where("fact <> upper(k)").isEmpty()
     assert attach_by_key(rows.limit(0), facts, "k", "n", 0).isEmpty()
+
+
+def test_references_lead_through_the_source(spark):
+    rows = [("x1", "guide.md", "please read the Handbook", 1, None, None), ("x2", "handbook.pdf", "one", 2, None, None), ("x3", "handbook.pdf", "two", 3, None, None), ("x4", "other.md", None, 4, None, None)]
+    chunks = spark.createDataFrame(rows, "id STRING, source_name STRING, text STRING, place BIGINT, chunk_type STRING, parent_id STRING")
+    edges = G.all_edges(chunks, chunks.select("source_name", F.lit("acme").alias("alias")).distinct())
+    got = {tuple(r) for r in edges.where("relation = 'cross_reference'").select("src", "dst").collect()}
+    assert got == {("x1", "source:handbook.pdf")}
+    seeds = spark.createDataFrame([("x1",)], "id STRING")
+    assert {(r.id, r.dist) for r in G.related(edges, seeds, 2, belongs=G.members(chunks)).collect()} == {("x2", 1), ("x3", 1)}
+    assert G.related(edges, seeds, 2, "parent_of", G.members(chunks)).isEmpty()
+
+
+def test_components_with_a_hub(spark):
+    star = spark.range(3000).select(F.lit("a").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
+    out = G.components(star, spark.createDataFrame([("zz",)], "id STRING"))
+    assert {tuple(r) for r in out.groupBy("component").count().collect()} == {("a", 3001), ("zz", 1)}

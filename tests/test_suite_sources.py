@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def test_exact_dedup_keeps_first(spark):
 def test_prioritised(spark):
     rows = [(1, 1, 1, "", "a", [], "low", []), (2, 1, 2, "", "b", [], " HIGH ", ["a", "b"]), (3, 1, 3, "", "c", [], "high", None), (4, 1, 4, "", "d", [], "odd", []), (5, 1, 1, "", "e", [], "low", [])]
     got = U.prioritised(spark.createDataFrame(rows, CASES)).orderBy("place").collect()
-    assert [r.case_id for r in got] == [3, 2, 1, 5, 4]
+    assert [r.case_id for r in got] == [3, 2, 4, 1, 5]  # "odd" counts as medium
 
 
 def test_missing_dependencies(spark):
@@ -158,3 +160,26 @@ def test_first_rows(spark):
 
     df = spark.createDataFrame([("a", 2, 1), ("a", None, 5), ("b", 1, 1), ("b", 1, 1), (None, 0, 0)], "id STRING, batch INT, pos INT")
     assert sorted(map(tuple, first_rows(df, "id", ["batch", "pos"]).collect()), key=str) == [("a", None, 5), ("b", 1, 1), ("b", 1, 1)]
+
+
+@pytest.mark.parametrize(
+    ("text", "means"),
+    [
+        ('{"steps": ["Click the "Save" button"]}', {"steps": ['Click the "Save" button']}),
+        ('{"a": "Go to "Leads" module", "b": "tab \\"x\\""}', {"a": 'Go to "Leads" module', "b": 'tab "x"'}),
+        ('[{"a": "1"}, {"b": "2"},', [{"a": "1"}, {"b": "2"}]),
+        ('[{"use_case": "In", "steps": ["1", "2",],}, {"use_case": "Out", "test_ca', [{"use_case": "In", "steps": ["1", "2"]}]),
+        ('{"a": {"b": [1, -2.5e3, {"c": true, "d": "x', {"a": {"b": [1, -2500.0, {"c": True}]}}),
+        ('[{"a": "x", "b": "y', [{"a": "x"}]),
+        ('{"a": "", "b": [], "c": null}', {"a": "", "b": [], "c": None}),
+        ("[", []),
+    ],
+)
+def test_mended(text, means):
+    assert json.loads(J.mended(text)) == means
+
+
+def test_unknown_priority_counts_as_medium(spark):
+    rows = [(1, 1, "low", 0), (2, 1, "??", 1), (3, 1, None, 2), (4, 1, "Medium ", 3), (5, 1, "HIGH", 4)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "case_id BIGINT, suite_id BIGINT, priority STRING, pos INT, dependencies ARRAY<STRING>")
+    assert [r.case_id for r in U.prioritised(df).orderBy("place").collect()] == [5, 2, 3, 4, 1]
