@@ -1,11 +1,14 @@
 """Personal information inside free text, replaced with typed placeholders.
 
-Regular expressions propose spans; each has a shape score. Checksums (Luhn, mod 97, mod 11, mod 31, Verhoeff) raise it, words
-nearby raise or lower it ("phone", "passport no." against "order", "build", "exported"), and spans at or above ACCEPT are kept; where
-spans overlap, the better one wins. Names are pairs of a family name with a given name or an initial: their score comes from a list of names, from the
-endings that the list's names share (so that names missing from it are found), and from the words around them.
+Regular expressions propose spans. Where a kind of number has check digits (Luhn, mod 97, mod 11, mod 23, mod 31, ISO 7064, Verhoeff), the validator
+confirms or refutes it: a confirmed number is accepted without further evidence and goes before what overlaps it, a refuted one only
+where its own label stands beside it ("passport no.", "Steuer-ID"), since documents hold misspelt and invented numbers; card numbers and
+IBANs are never accepted unconfirmed. Numbers without check digits and names start from a shape score that words nearby raise or lower
+("phone" against "order", "build"); spans at or above ACCEPT are kept, and of overlapping ones the best. Names are pairs of a family name
+with a given name or an initial: their score comes from a list of names, from the endings that the list's names share (so that names missing
+from it are found), and from the words around them.
 
-The text of one row decides alone, so this is one pass without a shuffle. The name list is small and is checked to be.
+The text of one row decides alone, so this is one pass without a shuffle. The name list is sent to every task as sets of words.
 
 Defined results: null text gives no spans; positions count code points from 1; ties of overlapping spans go to the longer, then the
 earlier; a name inside an email address is no span; repeated rows give repeated results.
@@ -49,6 +52,18 @@ def mod11(digits: str) -> bool:
     return True
 
 
+def mod23(digits: str, letter: str) -> bool:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == letter
+
+
+def iso7064(digits: str) -> bool:
+    """Modulus 11, 10: one check digit behind ten, of which one comes twice or three times."""
+    rest = 10
+    for c in digits[:-1]:
+        rest = ((int(c) + rest) % 10 or 10) * 2 % 11
+    return (11 - rest) % 10 == int(digits[-1]) and len(set(digits[:-1])) in (8, 9)
+
+
 def mod31(digits: str, letter: str) -> bool:
     return "0123456789ABCDEFHJKLMNPRSTUVWXY"[int(digits) % 31] == letter
 
@@ -67,14 +82,20 @@ def verhoeff(digits: str) -> bool:
 # ---------------------------------------------------------------- words nearby (fixed values)
 
 PHONE_WORDS = re.compile(r"(?i)\b(phone|call|tel|tél|téléphone|mobile|cell|fax|telefon|handy|rückruf|anruf|rappeler|appeler|llamar|teléfono|móvil|contact|kontakt|reach|dial)\b")
-ID_WORDS = re.compile(r"(?i)(identi|passport|passeport|pasaporte|reisepass|\btax\b|steuer|fiscal|\bdni\b|\bnif\b|\bnie\b|\bssn\b|social|ausweis|documento|\bid\b|insurance|licen[cs]e|\bborn\b|national|\biban\b|unmasked|upload preview)")
-NOT_PERSONAL = re.compile(r"(?i)\b(order|invoice|build|version|release|device|serial|ticket|counter|exported|parcels?|batch no|requirement|sku|part no|model|rechnung|bestellung|auftrag|gerät|commande|facture|appareil|pedido|factura|dispositivo|isbn|gateway|port|job ran)\b")
+ID_WORDS = re.compile(r"(?i)(identi|passport|passeport|pasaporte|reisepass|\btax\b|steuer|fiscal|\bdni\b|\bnif\b|\bnie\b|\bssn\b|social|ausweis|documento|\bid\b|insurance|licen[cs]e|\bborn\b|national|sécu)")
+NOT_PERSONAL = re.compile(
+    r"(?i)\b(orders?|invoices?|builds?|versions?|releases?|devices?|serials?|tickets?|batch|shipments?|tracking|sku|part no|article|models?|firmware|commit|isbn|ports?|"
+    r"rechnung(?:snummer)?|bestell(?:ung|nummer)|auftrag|gerät|seriennummer|commande|facture|appareil|pedido|factura|dispositivo)\b"
+)
 NAME_BEFORE = re.compile(
-    r"(?i)(reported by|signed off:?|\bper|attention|\bfor|profile of|holder|from:|to:|cc:?|assignee\s*[=:]|\"name\":\s*\"|belongs to|reviewer|tester|\bms\.?|\bmr\.?|\bmrs\.?|\bdr\.?|please ask|\bask|contact|"
-    r"frau|herr|herrn|freigabe durch|\bdurch|bitte an|\ban|testperson|von|mme|m\.|monsieur|madame|contacter|validé par|signalé par|\bpar|personne de test,?|"
-    r"aprobado por|\bpor|avisó|sra?\.|persona de prueba,?|consultar con|\bcon|thanks,?|regards,?|grüße,?|gruß,?|merci,?|cordialement,?|saludos,?|gracias,?|danke,?|by)[\s:>\"]*$"
+    r"(?i)(\b(?:by|per|for|from|to|of|with|ask|contact|attention|attn|cc|reported|signed(?:\soff)?|reviewer|tester|owner|assignee|author|holder|name|person)|\bms\.?|\bmr\.?|\bmrs\.?|\bdr\.?|"
+    r"\b(?:frau|herrn?|durch|an|von|mit|für|testperson|prüfer|prüferin)|\b(?:mme|madame|monsieur|par|pour|avec|de|personne(?:\sde\stest)?)|\bm\.|"
+    r"\b(?:por|con|para|avisó|persona(?:\sde\sprueba)?)|\bsra?\.?|thanks|regards|grüße|gruß|danke|merci|cordialement|saludos|gracias)[\s:;,=>\"]*$"
+)
+NAME_AFTER = re.compile(
+    r"(?i)^[\s\"]*(<|\(|,\s+(?:phone|tél|teléfono|telefon|born|habite|vive|wohnt|lives|\d)|;\s+mobile|(?:at|en)\s+\S+@|mail\b|(?:is|was|has|had|will|would|can|could|did|wants|asked|said|wrote|called|signed|confirmed|lives)\b|"
+    r"(?:ist|war|hat|wohnt|schrieb|bat)\b|(?:est|était|habite|a\sécrit)\b|(?:es|era|vive|escribió)\b)"
 )
-NAME_AFTER = re.compile(r"(?i)^[\s\"]*(confirmed|could not|wants a|wohnt|habite|vive en|<|\(|,\s+(phone|tél|teléfono|telefon|born|habite|vive|\d)|;\s+mobile|at\s+\S+@|en\s+\S+@|mail\s*=|this is expected|lives|signed|wrote|called)")
 FILE_ENDS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "zip", "js", "css", "html", "json", "xml", "csv", "txt", "md"}
 
 # ---------------------------------------------------------------- shapes
@@ -93,17 +114,21 @@ PHONES = [
     (re.compile(r"(?<![\w.+/-])0\d(?:([. -])\d{2})(?:\1\d{2}){3}(?![\w])"), 0.6),
     (re.compile(r"(?<![\w.+/-])(?:\d{10}|0\d{9,10})(?![\w-])"), 0.2),
 ]
+#: Pattern, shape score, check digits, and whether nothing stands in for them.
 IDS = [
-    (re.compile(r"(?<![\w.+/-])\d{3}([ -])\d{2}\1\d{4}(?![\w-])"), 0.5, "none"),
-    (re.compile(r"(?<![\w.+/-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])"), 0.6, "mod11"),
-    (re.compile(r"(?<![\w.+/-])[A-Za-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-Da-d](?!\w)"), 0.55, "none"),
-    (re.compile(r"(?<![\w.+/-])[A-Za-z]{1,2}\d{7,8}[A-Za-z]?(?![\w-])"), 0.4, "none"),
-    (re.compile(r"(?<![\w.+/-])\d{6}[-+A]\d{3}[0-9A-Y](?!\w)"), 0.55, "mod31"),
-    (re.compile(r"(?<![\w.+/-])\d{4}([ -])\d{4}\1\d{4}(?!\d|[ -]\d)"), 0.25, "verhoeff"),
-    (re.compile(r"(?<![\w.+/-])\d{8}[A-Za-z](?!\w)"), 0.3, "none"),
-    (re.compile(r"(?<![\w.+/-])(?:\d{4}[ -]){3}\d{4}(?!\d)"), 0.2, "luhn"),
-    (re.compile(r"(?<![\w.+/-])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), 0.2, "mod97"),
+    (re.compile(r"(?<![\w.+/-])\d{3}([ -])\d{2}\1\d{4}(?![\w-])"), 0.5, "", False),
+    (re.compile(r"(?<![\w.+/-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])"), 0.2, "mod11", False),
+    (re.compile(r"(?<![\w.+/-])[A-Za-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-Da-d](?!\w)"), 0.55, "", False),
+    (re.compile(r"(?<![\w.+/-])[A-Za-z]{1,2}\d{7,8}[A-Za-z]?(?![\w-])"), 0.4, "", False),
+    (re.compile(r"(?<![\w.+/-])\d{6}[-+A]\d{3}[0-9A-Y](?!\w)"), 0.2, "mod31", False),
+    (re.compile(r"(?<![\w.+/-])(?<!\d[ -])\d{4}([ -])\d{4}\1\d{4}(?!\d|[ -]\d)"), 0.2, "verhoeff", False),
+    (re.compile(r"(?<![\w.+/-])(?<!\d[ -])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w-]|[ -]\d)"), 0.2, "iso7064", False),
+    (re.compile(r"(?<![\w.+/-])[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-]|[ -]\d)"), 0.2, "nir", False),
+    (re.compile(r"(?<![\w.+/-])[XYZxyz]?\d{7,8}-?[A-Za-z](?!\w)"), 0.3, "mod23", False),
+    (re.compile(r"(?<![\w.+/-])(?:\d{4}[ -]?){3}\d{4}(?!\d)"), 0.45, "luhn", True),
+    (re.compile(r"(?<![\w.+/-])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), 0.45, "mod97", True),
 ]
+CONFIRMED, REFUTED, LABELLED = 0.5, -0.1, 0.45
 _W = r"[^\W\d_][\w'’-]*"
 _STREETS = r"(?:Street|St\.|Ave(?:nue)?\.?|Road|Rd\.?|Lane|Ln\.?|Close|Way|Drive|Dr\.|Court|Place|Square|Boulevard|Blvd\.?|Terrace)"
 #: Lower-case marks, where a digit or capital must be seen from a mark before its pattern is tried around it, and the pattern.
@@ -128,11 +153,12 @@ PAIR = re.compile(rf"(?<![\w@.'’-])(?=(({_CAP}|[^\W\d_a-zß-öø-ÿ]\.)(,?[ \x
 _GIVEN_BEFORE = re.compile(rf"(?<![\w@.'’-])({_CAP})[ \xa0]{{1,3}}\Z")
 #: Capitalised words that begin sentences or carry titles, never part of a name.
 NOT_NAMES = frozenset(
-    "the a an in on at of for from to by per with check it if when after before between nobody earlier every each with owner reported signed contact please ask reviewer ms mr mrs dr frau herr herrn mme "
-    "madame monsieur sr sra thanks regards test expected observed steps scope session ship order build counter requirement package icon see section appendix rollback release note open points "
-    "copie copia merci rappeler llamar tel tél le la les el los las un une una der die das ein eine und et y von van durch par por con an am im nach wenn zu offen der freigabe gemeldet signalé validé aprobado "
-    "lo consultar rückfragen bitte ausweisnummer passport national identity number id po box flat unit street close lane way ave avenue rd road north old south east west calle plaza avda rue boulevard impasse "
-    "gateway job field background preconditions but and or not as is this that there here he she they we you i danke grüße gruß saludos gracias cordialement testperson tester kunde kundin nutzer clerk session".split()
+    "the a an in on at of for from to by per with check it if when after before between nobody everybody earlier every each some all any owner reported signed contact please ask reviewer ms mr mrs dr "
+    "thanks regards test expected observed actual steps scope ship order build version package see section chapter figure table appendix rollback release note notes open points page item and or not as is this "
+    "that there here he she they we you i no yes passport national identity tax number id email phone po box flat unit street close lane way ave avenue rd road old new north south east west "
+    "frau herr herrn der die das ein eine und von durch an am im nach wenn zu mit für offen freigabe gemeldet rückfragen bitte ausweis ausweisnummer reisepass telefon danke grüße gruß tester kunde kundin nutzer testperson "
+    "mme madame monsieur le la les un une et par pour avec de du des si copie merci rappeler tel tél signalé validé cordialement passeport rue boulevard impasse "
+    "sr sra el lo los las una y por con para si copia llamar aprobado consultar saludos gracias pasaporte calle plaza avda".split()
 )
 
 
@@ -194,34 +220,50 @@ def _alone(left: str, right: str) -> bool:
     return not left.strip(" \t\u200b\ufeff>-*•✅🧪🙂") and not right.strip(" \t.\u200b")
 
 
+_NEXT_WORDS = re.compile(r"(?: [^\W\d_A-ZÀ-Þ]\w*){0,5}")  # the sentence goes on in lower case
+_TELLING = ((PHONE_WORDS, "phone"), (ID_WORDS, "id_number"), (NOT_PERSONAL, "other"))
+
+
+def _label(before: str, after: str) -> str:
+    """What the nearest telling word says that a number is: phone, id_number, other (not personal), or nothing."""
+    near = [(len(before) - m.end(), kind) for pattern, kind in _TELLING for m in pattern.finditer(before)]
+    near += [(m.start(), kind) for pattern, kind in _TELLING for m in pattern.finditer(after)]
+    return min(near)[1] if near else ""
+
+
 def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
     """Spans of digits that may be a phone or an identity number; the shapes are tried only around runs of digits."""
     for run in DIGITS.finditer(text):
         a, b = max(0, run.start() - 4), min(len(text), run.end() + 1)
-        tried = [("phone", m, shape, "") for p, shape in PHONES for m in p.finditer(text, a, b)] + [("id_number", m, shape, check) for p, shape, check in IDS for m in p.finditer(text, a, b)]
-        for kind, m, shape, check in tried:
+        tried = [("phone", m, shape, ()) for p, shape in PHONES for m in p.finditer(text, a, b)]
+        tried += [("id_number", m, shape, rest) for p, shape, *rest in IDS for m in p.finditer(text, a, b)]
+        for kind, m, shape, rest in tried:
             left, right = _near(text, m.start(), m.end())
+            said = _label(left, _NEXT_WORDS.match(right).group())
             if kind == "phone":
                 if not 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                     continue
-                score = shape + 0.4 * bool(PHONE_WORDS.search(left)) + 0.35 * _alone(left, right) + 0.1 * bool(re.match(r"\s*(ext|x)\b", right))
-                score -= 0.5 * bool(NOT_PERSONAL.search(left)) + 0.5 * bool(ID_WORDS.search(left))
+                score = shape + 0.4 * (said == "phone") - 0.5 * (said in ("id_number", "other")) + 0.35 * _alone(left, right) + 0.1 * bool(re.match(r"\s*(ext|x)\b", right))
             else:
-                bare = re.sub(r"[^0-9A-Za-z]", "", m.group()).upper()
-                score = shape + 0.15 * _sound(check, bare, m.group()) + 0.45 * bool(ID_WORDS.search(left) or ID_WORDS.search(right))
-                score -= 0.6 * bool(NOT_PERSONAL.search(left + " " + right)) + 0.3 * bool(PHONE_WORDS.search(left))
+                check, strict = rest
+                sound = bool(check) and _sound(check, re.sub(r"[^0-9A-Za-z]", "", m.group()).upper())
+                if strict and not sound:
+                    continue
+                score = shape + (0 if not check else CONFIRMED if sound else REFUTED) + LABELLED * (said == "id_number") - 0.6 * (said == "other") - 0.3 * (said == "phone" and not sound)
             if score >= ACCEPT - 1e-9:
                 yield kind, m.start(), m.end(), score
 
 
-def _sound(check: str, bare: str, given: str) -> bool:
-    return (
-        (check == "mod11" and mod11(bare))
-        or (check == "verhoeff" and verhoeff(bare))
-        or (check == "luhn" and luhn(bare))
-        or (check == "mod97" and mod97(bare))
-        or (check == "mod31" and mod31(given[:6] + given[7:10], given[-1]))
-    )
+def _sound(check: str, bare: str) -> bool:
+    """Whether the check digits of a number (its digits and letters only) are right."""
+    if check == "mod23":
+        digits, letter = bare[:-1].translate(str.maketrans("XYZ", "012")), bare[-1]
+        return len(digits) == 8 and mod23(digits, letter)
+    if check == "mod31":
+        return mod31(bare.replace("A", "", 1)[:9] if bare[6] == "A" else bare[:9], bare[-1])
+    if check == "nir":
+        return 97 - int(bare[:13]) % 97 == int(bare[13:])
+    return {"mod11": mod11, "verhoeff": verhoeff, "luhn": luhn, "mod97": mod97, "iso7064": iso7064}[check](bare)
 
 
 def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, float]]:

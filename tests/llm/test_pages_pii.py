@@ -39,11 +39,39 @@ def test_spans(text, spans):
     assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text, NAMES)] == spans
 
 
+HELD_OUT = [
+    # confirmed by their check digits, without a word that says so
+    ("He paid with 4111 1111 1111 1111 last week", "4111 1111 1111 1111"), ("please use DE89 3704 0044 0532 0130 00 from now on", "DE89 3704 0044 0532 0130 00"),
+    ("mine is 529.982.247-25 and", "529.982.247-25"), ("she gave 131052-308T twice", "131052-308T"), ("we noted 12345678Z there", "12345678Z"),
+    ("the file of 86 095 742 719 is", "86 095 742 719"),
+    # refuted
+    ("He paid with 4111 1111 1111 1112 last week", None), ("the ID 4111 1111 1111 1112 is", None), ("iban DE88 3704 0044 0532 0130 00", None),
+    ("mine is 529.982.247-26 and", None), ("she gave 131052-308U twice", None), ("we noted 12345678A there", None), ("the file of 86 095 742 718 is", None),
+    # refuted, but labelled
+    ("her tax number is 529.982.247-26, she says", "529.982.247-26"), ("el DNI 12345678A es", "12345678A"),
+    # confirmed by chance, but labelled as something else
+    ("order 12345678Z was sent", None), ("call 030 901820 or send the passport number", None),
+]
+
+
+@pytest.mark.parametrize(("text", "number"), HELD_OUT)
+def test_validators_decide(text, number):
+    found = [text[a:b] for kind, a, b, _ in pii.find_spans(text, NAMES) if kind == "id_number"]
+    assert found == ([number] if number else [])
+
+
+def test_without_validators_the_spans_differ(monkeypatch):
+    monkeypatch.setattr(pii, "_sound", lambda *_: False)
+    missed = [n for text, n in HELD_OUT if n and n not in [text[a:b] for k, a, b, _ in pii.find_spans(text, NAMES) if k == "id_number"]]
+    assert len(missed) == 6
+
+
 def test_checksums():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     assert pii.mod11("52998224725") and not pii.mod11("52998224726")
-    assert pii.mod31("131052308", "T")
+    assert pii.mod31("131052308", "T") and pii.mod23("12345678", "Z") and not pii.mod23("12345678", "A")
+    assert pii.iso7064("86095742719") and not pii.iso7064("86095742718")
     assert pii.verhoeff("2363") and not pii.verhoeff("2364")
 
 
