@@ -10,11 +10,13 @@ from lorespark.sources.tables import table
 
 
 def p8_aligned(spark: SparkSession, d: str) -> DataFrame:
-    """Every aligned pair with its score and longest exact run: whole, partial and edited copies."""
-    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
+    """Every pair that leaks by its alignment: whole, partial, edited and paraphrased copies, with their scores."""
+    found = leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
+    return found.where("leaked").drop("leaked")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of these, the pairs that share WINDOW words in a row, or the whole of a shorter item."""
     return p8_aligned(spark, d).where(F.col("longest_run") >= F.col("needed")).select("doc_id", "item_id")
 
 

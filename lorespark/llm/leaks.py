@@ -1,12 +1,16 @@
 """Evaluation texts leaking into training text: rare seeds, then Smith-Waterman alignment.
 
-Every run of WINDOW words of a test item (or the whole item, if shorter) must hold a seed: a run of SEED words, the rarest of the
-window among all items. So a document with WINDOW words of an item in a row holds at least one seed of it, and template phrases that
-many items share are seldom seeds. A document is read once; around each seed it holds, a region as wide as the longest item is kept.
-Regions meet items by their seeds in a join, and each pair is aligned by words: the best local alignment (match +2, mismatch
-and gap -1) scores whole, partial and edited copies, and the longest exact run is reported with it.
-
-At most SMALL_SET seeds are sent to the tasks at once; a larger test set takes several passes, and its items are joined in a shuffle.
+Seeds are runs of SEED words of a test item: of every NEAR words of the item the run that the fewest items have, so that a copy in which one word of
+five is changed, put in or dropped still holds some (an item of fewer words is its own seed). A document is read once; its seeds vote
+for the items they belong to and for how far the copy is shifted. Where enough votes for one item agree, within SPAN words and up to a
+drift of BAND words, the stretch of the document that the whole item may cover there meets the item, and the two are aligned by words:
+the best local alignment (match +2, mismatch and gap -1) scores whole, partial, edited and paraphrased copies. A pair leaks if its score is
+at least that of WINDOW words in a row (or of the whole item, if it has fewer) and either EDITED of the whole item's, as every edited or
+paraphrased copy of most of an item has, or due to so many words in a row: texts of one subject share phrases that add up to less.
+``longest_run`` says how many words are the same in a row.
+WINDOW words of an item in a row hold as many agreeing votes as are asked for, by arithmetic, so every such copy is aligned.
+
+At most SMALL_SET seeds are sent to the tasks at once; a larger test set takes several passes, by items, and its items are joined in a shuffle.
 
 Defined results: null and blank texts leak nothing; items without a word are left out; repeated document or item rows give one
 row per pair of ids; a document may leak several items.
@@ -14,8 +18,8 @@ row per pair of ids; a document may leak several items.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,14 +30,16 @@ from pyspark.sql import functions as F
 from lorespark.llm.shingles import WordHashes, rolled, words
 from lorespark.plans.durable import durable
 
-WINDOW, SEED = 13, 5
-SMALL_SET = 2_000_000  # seeds that may be sent to every task: 16 MB
-REGIONS = "doc_id BIGINT, region INT, first_word INT, region_words STRING, seeds ARRAY<BIGINT>"
-LEAKS = "doc_id BIGINT, item_id BIGINT, score DOUBLE, longest_run INT, last_word INT, needed INT"
+WINDOW, SEED, NEAR = 13, 3, 5
+VOTES, SPAN, BAND = 3, 40, 16
+EDITED = 0.35
+SMALL_SET = 1_000_000  # seeds with their places that may be sent to every task: 24 MB
+REGIONS = "doc_id BIGINT, item_id BIGINT, first_word INT, region_words STRING"
+LEAKS = "doc_id BIGINT, item_id BIGINT, score DOUBLE, longest_run INT, last_word INT, needed INT, leaked BOOLEAN"
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, item_words, seeds of all runs by place) of each item with a word."""
+    """(item_id, item_words, n_words, hashes of all runs by place) of each item with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -43,31 +49,82 @@ def item_words(items: DataFrame) -> DataFrame:
                 ws = words(text)
                 if ws:
                     n = min(SEED, len(ws))
-                    rows.append((item, " ".join(ws), rolled(known.of(ws), n)[: len(ws) - n + 1].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["item_id", "item_words", "grams"])
+                    rows.append((item, " ".join(ws), len(ws), rolled(known.of(ws), n)[: len(ws) - n + 1].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["item_id", "item_words", "n_words", "grams"])
 
-    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
-    return usable.mapInPandas(run, "item_id BIGINT, item_words STRING, grams ARRAY<BIGINT>")
+    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text").dropDuplicates(["item_id"])
+    return usable.mapInPandas(run, "item_id BIGINT, item_words STRING, n_words INT, grams ARRAY<BIGINT>")
 
 
 def seeds_of(items: DataFrame) -> DataFrame:
-    """(seed, item_id): of every window of every item its rarest run of SEED words, by how many items have it."""
+    """(item_id, n_words, seed, place): of every NEAR words of every item the run of SEED words that the fewest items have, with its place from 0."""
     places = items.select("item_id", F.posexplode("grams").alias("place", "seed"))
     rare = places.groupBy("seed").agg(F.countDistinct("item_id").alias("df"))
     ranked = places.join(rare, "seed").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("place", "df", "seed"))).alias("g"))
-    # a window of WINDOW words holds this many runs; shorter items are one window
-    held = WINDOW - SEED + 1
+    held = NEAR - SEED + 1  # so many runs are in NEAR words
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("g") - (held - 1)))
-    least = F.transform(starts, lambda s: F.array_min(F.transform(F.slice("g", s, held), lambda x: F.struct(x["df"], x["seed"])))["seed"])
-    return ranked.select("item_id", F.explode(F.array_distinct(least)).alias("seed")).select("seed", "item_id")
-
-
-def regions(docs: DataFrame, seeds: np.ndarray, reach: int) -> DataFrame:
-    """``REGIONS``: stretches of ``reach`` words around the seeds that a document holds; overlapping ones are one."""
-    wanted = np.sort(seeds.view(np.uint64))
+    least = F.transform(starts, lambda s: F.array_min(F.transform(F.slice("g", s, held), lambda x: F.struct(x["df"], x["seed"], x["place"]))))
+    chosen = ranked.select("item_id", F.explode(F.array_distinct(least)).alias("x")).select("item_id", "x.seed", "x.place")
+    return chosen.join(items.select("item_id", "n_words"), "item_id").select("item_id", "n_words", "seed", "place")
+
+
+@dataclass
+class Seeds:
+    """What a task needs of a part of the seeds: the sorted runs, and the items and places of each, by offsets."""
+
+    run: np.ndarray
+    offset: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    sizes: list[int]
+
+    @classmethod
+    def of(cls, part: pa.Table) -> Seeds:
+        seed, item, place, length = (part[c].to_numpy().astype(np.int64) for c in ("seed", "item_id", "place", "n_words"))
+        order = np.argsort(seed.view(np.uint64), kind="stable")
+        run, first = np.unique(seed.view(np.uint64)[order], return_index=True)
+        return cls(run, np.append(first, len(seed)), item[order], place[order], length[order], sorted({min(SEED, int(n)) for n in np.unique(length)}))
+
+    def votes(self, flat: np.ndarray, owner: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the seeds in ``flat``, their entries here)."""
+        at, entry = [], []
+        for size in self.sizes if len(self.run) else []:
+            grams = rolled(flat, size)
+            slot = np.minimum(np.searchsorted(self.run, grams), len(self.run) - 1)
+            hits = np.nonzero((place <= lengths[owner] - size) & (self.run[slot] == grams))[0]
+            first, n = self.offset[slot[hits]], self.offset[slot[hits] + 1] - self.offset[slot[hits]]
+            own = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hits) else np.zeros(0, np.int64)
+            right = np.minimum(self.length[own], SEED) == size  # a short item's whole text, not a run that hashes alike
+            at.append(np.repeat(hits, n)[right])
+            entry.append(own[right])
+        return (np.concatenate(at), np.concatenate(entry)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _agreeing(doc: np.ndarray, item: np.ndarray, place: np.ndarray, shift: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which votes agree: as many as ``wanted`` at different places for one item of one document, within SPAN words and BAND words of shift."""
+    good = np.zeros(len(doc), bool)
+    for start in (0, BAND // 2):
+        band = (shift + start) // BAND
+        order = np.lexsort((place, band, item, doc))
+        d, i, b, p = doc[order], item[order], band[order], place[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
+        order, d, i, b, p = order[new], d[new], i[new], b[new], p[new]
+        for n in range(1, VOTES + 1):
+            k = np.nonzero(wanted[order][: len(order) - n + 1] == n)[0]
+            same = (d[k] == d[k + n - 1]) & (i[k] == i[k + n - 1]) & (b[k] == b[k + n - 1]) & (p[k + n - 1] - p[k] <= SPAN)
+            for j in range(n):
+                good[order[k[same] + j]] = True
+    return good
+
+
+def regions(docs: DataFrame, seeds: pa.Table) -> DataFrame:
+    """``REGIONS``: the stretches of each document that an item may cover, where enough seeds agree; overlapping ones of an item are one."""
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds.of(seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, known_seeds = WordHashes(), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -76,30 +133,30 @@ def regions(docs: DataFrame, seeds: np.ndarray, reach: int) -> DataFrame:
                 flat = known.of([w for ws in lists for w in ws])
                 if not len(flat):
                     continue
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 owner = np.repeat(np.arange(len(lists)), lengths)
-                grams = rolled(flat, SEED)
-                inside = np.arange(len(flat)) - starts[owner] <= lengths[owner] - SEED
-                slot = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-                hits = np.nonzero(inside & (wanted[slot] == grams))[0]
-                short = [i for i in np.nonzero((lengths > 0) & (lengths < SEED))[0]]  # whole texts shorter than a seed
-                ids, out = batch.column("doc_id").to_pylist(), []
-                for doc in np.unique(owner[hits]):
-                    mine, ws = hits[owner[hits] == doc], lists[doc]
-                    place = mine - starts[doc]
-                    cut = np.nonzero(np.diff(place) > 2 * reach)[0] + 1
-                    for n, group in enumerate(np.split(np.arange(len(place)), cut)):
-                        a, b = max(0, int(place[group[0]]) - reach), min(len(ws), int(place[group[-1]]) + SEED + reach)
-                        out.append((ids[doc], n, a + 1, " ".join(ws[a:b]), np.unique(grams[mine[group]]).view(np.int64)))
-                for doc in short:
-                    gram = rolled(flat[starts[doc] : starts[doc] + lengths[doc]], int(lengths[doc]))[:1]
-                    if wanted[min(np.searchsorted(wanted, gram[0]), len(wanted) - 1)] == gram[0]:
-                        out.append((ids[doc], 0, 1, " ".join(lists[doc]), gram.view(np.int64)))
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame(out, columns=["doc_id", "region", "first_word", "region_words", "seeds"]).astype({"region": "int32", "first_word": "int32", "doc_id": "int64"}),
-                    schema=pa.schema([("doc_id", pa.int64()), ("region", pa.int32()), ("first_word", pa.int32()), ("region_words", pa.string()), ("seeds", pa.list_(pa.int64()))]),
-                    preserve_index=False,
-                )
+                place = np.arange(len(flat)) - (np.cumsum(lengths) - lengths)[owner]
+                hit, entry = known_seeds.votes(flat, owner, place, lengths)
+                n_words, item = known_seeds.length[entry], known_seeds.item[entry]
+                shift = place[hit] - known_seeds.place[entry]
+                # as many disjoint runs of NEAR words as the shortest copy holds, and a vote in each
+                wanted = np.clip((np.minimum(n_words, WINDOW) - SEED + 1) // (NEAR - SEED + 1), 1, VOTES)
+                good = _agreeing(owner[hit], item, place[hit], shift, wanted)
+                doc, item, n_words, shift = owner[hit][good], item[good], n_words[good], shift[good]
+                slack = 8 + n_words // 4
+                low, high = np.maximum(shift - slack, 0), np.minimum(shift + n_words + slack, lengths[doc])
+                order = np.lexsort((low, item, doc))
+                out, ids = [], batch.column("doc_id").to_pylist()
+                for k in order:
+                    key = (doc[k], item[k])
+                    if out and out[-1][0] == key and low[k] <= out[-1][2]:
+                        out[-1][2] = max(out[-1][2], high[k])
+                    else:
+                        out.append([key, low[k], high[k]])
+                yield pa.record_batch(
+                    [pa.array([ids[d] for (d, _), _, _ in out], pa.int64()), pa.array([i for (_, i), _, _ in out], pa.int64()), pa.array([a + 1 for _, a, _ in out], pa.int32()),
+                     pa.array([" ".join(lists[d][a:b]) for (d, _), a, b in out], pa.string())],
+                    names=["doc_id", "item_id", "first_word", "region_words"],
+                )
 
     return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, REGIONS)
 
@@ -124,21 +181,17 @@ def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``LEAKS``: every document and item that share a seed, aligned. ``score`` is the part of the item that the alignment gives
-    (1 for a whole copy), ``needed`` the run that counts as a leak: WINDOW words or the whole item."""
+    """``LEAKS``: every document and item whose seeds agree, aligned. ``score`` is the part of the item that the alignment gives (1 for a whole
+    copy), ``needed`` the words in a row whose score makes a leak: WINDOW or the whole item."""
     ready = durable(item_words(items))
-    seeds = durable(seeds_of(ready).distinct())
-    reach = int(ready.agg(F.coalesce(F.max(F.size(F.split("item_words", " "))), F.lit(0))).first()[0])
-    passes = -(-seeds.count() // SMALL_SET)
-    pairs = docs.sparkSession.createDataFrame([], "item_id BIGINT, doc_id BIGINT, region INT, first_word INT, region_words STRING, item_words STRING")
+    seeds = durable(seeds_of(ready))
+    passes = max(1, -(-seeds.count() // SMALL_SET))
+    texts = ready.select("item_id", "item_words")
+    pairs = None
     for n in range(passes):
-        part = seeds.where(F.pmod("seed", F.lit(passes)) == n)
-        wanted = np.array(part.select("seed").distinct().toArrow()["seed"].to_numpy(), np.int64)  # at most about SMALL_SET
-        if len(wanted):
-            found = regions(docs, wanted, reach).withColumn("seed", F.explode("seeds"))
-            met = found.join(F.broadcast(part), "seed").drop("seed", "seeds").dropDuplicates(["doc_id", "region", "region_words", "item_id"])
-            texts = ready.select("item_id", "item_words")
-            pairs = pairs.unionByName(met.join(F.broadcast(texts) if passes == 1 else texts, "item_id").select(pairs.columns))
+        part = seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).toArrow()  # at most about SMALL_SET rows, however many items there are
+        met = regions(docs, part).join(F.broadcast(texts) if passes == 1 else texts, "item_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,10 +199,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 item = r.item_words.split(" ")
                 best, longest, last = align(r.region_words.split(" "), item)
-                rows.append((r.doc_id, r.item_id, best / (2 * len(item)), longest, r.first_word + last - 1, min(WINDOW, len(item))))
+                needed = min(WINDOW, len(item))
+                score = best / (2 * len(item))
+                leaked = best >= 2 * needed and (score >= EDITED or longest >= needed)
+                rows.append((r.doc_id, r.item_id, score, longest, r.first_word + last - 1, needed, leaked))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
-    scored = pairs.select("doc_id", "item_id", "first_word", "region_words", "item_words").mapInPandas(run, LEAKS)
-    best = F.max(F.struct("longest_run", "score", "last_word", "needed")).alias("x")
+    # few rows, costly ones: dealt out to all tasks
+    scored = pairs.select("doc_id", "item_id", "first_word", "region_words", "item_words").repartition("doc_id", "item_id", "first_word").mapInPandas(run, LEAKS)
+    best = F.max(F.struct("leaked", "longest_run", "score", "last_word", "needed")).alias("x")
     out = scored.groupBy("doc_id", "item_id").agg(best, F.max("score").alias("score"))
-    return out.select("doc_id", "item_id", "score", "x.longest_run", "x.last_word", "x.needed")
+    return out.select("doc_id", "item_id", "score", "x.longest_run", "x.last_word", "x.needed", "x.leaked")

@@ -18,16 +18,45 @@ def test_leaks(spark):
         (13, "say ONLY five, words are here!"),
         (14, "only five words were here"),
         (15, " ".join(W[:8] + ["new"] + W[8:])),  # edited: eight and thirteen
-        (16, None), (17, ""), (18, "z " * 5000 + ITEM), (19, "two words"), (10, "intro text " + ITEM),
+        (16, None), (17, ""), (18, "z " * 5000 + ITEM), (19, "here are two words, and more of them"), (10, "intro text " + ITEM),
     ]
     got = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame([(*d, 1) for d in docs], "doc_id BIGINT, text STRING, score INT"), items).collect()}
     found = {k for k, r in got.items() if r.longest_run >= r.needed}
     assert found == {(10, 1), (11, 1), (13, 2), (15, 1), (18, 1), (19, 5)}
+    assert {k for k, r in got.items() if r.leaked} == found and (12, 1) not in found
     assert got[(10, 1)].score == 1.0 and got[(15, 1)].score > 0.9 and got[(18, 1)].last_word == 5000 + len(W)
     assert leaks(spark.createDataFrame([], "doc_id BIGINT, text STRING"), items).isEmpty()
     assert leaks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), items.limit(0)).isEmpty()
 
 
+def test_edited_copies(spark):
+    """One word in five changed, put in or dropped; texts of the same words in another order leak nothing."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choices("abcdefghijklmno", k=6)) for _ in range(400)]
+    items = [[r.choice(vocabulary) for _ in range(r.randrange(25, 120))] for _ in range(60)]
+    docs, want = [], set()
+    for n, item in enumerate(items):
+        for way in range(3):
+            out = []
+            for w in item:
+                hit = r.random() < 0.2
+                out += ([r.choice(vocabulary)] if way == 0 else [w, r.choice(vocabulary)] if way == 1 else []) if hit else [w]
+            docs.append((n * 10 + way, " ".join([r.choice(vocabulary) for _ in range(200)] + out + [r.choice(vocabulary) for _ in range(100)])))
+            want.add((n * 10 + way, n))
+        docs.append((n * 10 + 9, " ".join(r.sample(item, len(item)))))
+    found = leaks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id BIGINT, text STRING"))
+    got = {(x.doc_id, x.item_id) for x in found.where("leaked").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    assert found.where("leaked AND longest_run < needed").count() > 60  # the alignment decides, not the longest run
+
+
+def test_passes_over_large_test_sets(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ITEM), (2, "nothing of it")], "doc_id BIGINT, text STRING")
+    items = spark.createDataFrame([(n, f"{ITEM} number {n}") for n in range(20)], "item_id BIGINT, text STRING")
+    monkeypatch.setattr("lorespark.llm.leaks.SMALL_SET", 100)
+    assert {x.item_id for x in leaks(docs, items).where("leaked").collect()} == set(range(20))
+
+
 def test_align():
     assert align("a b x c d".split(), "a b c d".split()) == (7, 2, 5)
 
