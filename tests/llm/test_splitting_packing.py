@@ -37,31 +37,48 @@ def test_split_cases(spark):
 @given(st.lists(st.integers(1, 100), max_size=80))
 def test_shard_packing(sizes):
     items = [(i, 1, n) for i, n in enumerate(sizes)]
-    containers = P.pack_shard(items, 100, 4)
-    assert sorted(i for c in containers for i in c) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in c) <= 100 for c in containers)
+    containers = P.pack_shard(items, (100, 50, 25))
+    assert sorted(i for c in containers for _, members in c for i in members) == list(range(len(sizes)))
+    assert all(sum(w for w, _ in c) <= 100 for c in containers)
+    assert all(sum(sizes[i] for i in members) <= w and all(P.tier_of(sizes[i], (100, 50, 25)) <= w for i in members) for c in containers for w, members in c)
     if sizes:
-        assert len(containers) <= 2 * -(-sum(sizes) // 100)
+        assert len(containers) <= 2 * -(-sum(sizes) // 100) + 1
+
+
+def test_tiers_make_a_difference():
+    items = [(i, 1, n) for i, n in enumerate([70, 40, 30, 20, 10, 8, 6])]
+    tiered, plain = P.pack_shard(items, (100, 50, 25)), P.pack_shard(items, (100,))
+    windows = [(w, [items[i][2] for i in m]) for c in tiered for w, m in c]
+    assert windows == [(100, [70, 30]), (50, [40, 10]), (25, [20]), (25, [8, 6])]  # the long gap goes to a shorter tier, and attention stays in its window
+    assert [[items[i][2] for i in m] for c in plain for _, m in c] == [[70, 30], [40, 20, 10, 8, 6]]
 
 
 def test_pack(spark):
-    docs = spark.createDataFrame([(i, "word " * (3 + i * 37 % 400), "z") for i in range(300)] + [(900, "long words " * 2000, "z"), (901, None, "z"), (902, "", "z"), (5, "again", "z")], "doc_id BIGINT, text STRING, tier STRING")
+    docs = spark.createDataFrame([(i, "word " * (3 + i * 37 % 400), "z") for i in range(300)] + [(900, "long wörds " * 2000, "z"), (901, None, "z"), (902, "", "z"), (5, "again", "z")], "doc_id BIGINT, text STRING, tier STRING")
     sizes = P.with_sizes(docs)
-    out = P.pack(sizes, 512, shard_items=100).collect()
-    used, total = {}, {}
+    out = P.pack(sizes, (512, 256, 128), shard_items=100).collect()
+    used, total, windows = {}, {}, {}
     for r in out:
         used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+        windows[r.container_id, r.window_no, r.window] = windows.get((r.container_id, r.window_no, r.window), 0) + r.n_tokens
     expected = {}
     for r in sizes.collect():
         expected[r.doc_id] = expected.get(r.doc_id, 0) + r.n_tokens
-    assert total == expected and max(used.values()) <= 512
-    assert sum(used.values()) / (512 * len(used)) > 0.9
-    assert {r.doc_id for r in out if r.piece_no > 1} == {900}
+    assert total == expected and max(used.values()) <= 512 and all(fill <= k[2] for k, fill in windows.items())
+    assert sum(used.values()) / (512 * len(used)) > 0.85
+    assert {r.doc_id for r in out if r.piece_no > 1} == {900} and {r.first_token % 512 for r in out} == {1}
+    cost = {}
+    for (c, _, _), fill in windows.items():
+        cost[c] = cost.get(c, 0) + fill * fill
+    group_of = {r.container_id: r.step_group for r in out}
+    sums = [sum(x for c, x in cost.items() if group_of[c] == g) for g in range(8)]
+    assert set(group_of.values()) == set(range(8)) and max(sums) - min(sums) <= max(cost.values())
+    pieces = P.piece_texts(docs, sizes, 512).orderBy("doc_id", "piece_no").collect()
+    assert "".join(r.text for r in pieces) == "long wörds " * 2000 and len(pieces) == sum(r.doc_id == 900 for r in out)
     assert P.pack(sizes.limit(0)).isEmpty()
 
 
-def test_groups_are_balanced():
-    groups = P.deal_groups(list(range(1, 41)), 4)
-    sums = [sum(c + 1 for c, g in enumerate(groups) if g == k) for k in range(4)]
-    assert max(sums) - min(sums) <= 8 and all(groups.count(k) == 10 for k in range(4))
+def test_windows_must_divide(spark):
+    with pytest.raises(ValueError):
+        P.pack(spark.createDataFrame([], "doc_id BIGINT, n_tokens INT"), (100, 30))
