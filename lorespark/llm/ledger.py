@@ -2,8 +2,9 @@
 
 Each record is reduced to a canonical key: the letters and digits of each field, case-folded, the fields sorted, so that
 spelling habits and exchanged fields give the same key. The ledger holds one row per key with the number of copies and the
-earliest representative, in hash buckets. A batch is aggregated first (map-side, so a key that owns a third of all rows is one
-row per task before any shuffle), then full-outer-joined with the matching buckets of the ledger only.
+earliest representative, in a folder of hash buckets that outlives the job. A batch is aggregated first (map-side, so a key that owns a third of
+all rows is one row per task before any shuffle), then full-outer-joined with the buckets that it touches; only these are read and
+written again. Choose as many buckets as make one of them a file of convenient size; a small batch then touches few.
 
 Defined results: a record whose every copy has a null, blank or letterless field is left out; ties of the earliest
 representative do not arise, since the smallest id wins; repeated ids count each time they are given; an empty batch leaves the
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import letters_digits
 from lorespark.operators.skew import attach_by_key
-from lorespark.plans.durable import durable
+from lorespark.plans.durable import durable, release
 
-LEDGER = "bucket INT, dup_key BINARY, copies BIGINT, keep_id BIGINT"
+LEDGER = "dup_key BINARY, copies BIGINT, keep_id BIGINT, bucket INT"
 
 
 def canonical_key(*fields: Column) -> Column:
@@ -29,44 +30,42 @@ def canonical_key(*fields: Column) -> Column:
     return F.when(usable, F.unhex(F.md5(F.array_join(F.sort_array(parts), "\u0001").cast("binary"))))
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+def keyed(df: DataFrame, id_col: str, fields: list[str], delivery: Column | None = None) -> DataFrame:
+    """(dup_key, row_id, delivery) of every record that has a key."""
+    out = df.select(canonical_key(*[F.col(f) for f in fields]).alias("dup_key"), F.col(id_col).cast("bigint").alias("row_id"), (F.lit(0) if delivery is None else F.coalesce(delivery, F.lit(0))).cast("int").alias("delivery"))
+    return out.where("dup_key IS NOT NULL AND row_id IS NOT NULL")
 
 
-def keyed(df: DataFrame, id_col: str, fields: list[str], buckets: int = 64) -> DataFrame:
-    """(bucket, dup_key, row_id) of every record that has a key."""
-    out = df.select(canonical_key(*[F.col(f) for f in fields]).alias("dup_key"), F.col(id_col).cast("bigint").alias("row_id"))
-    out = out.where("dup_key IS NOT NULL AND row_id IS NOT NULL")
-    return out.select(F.pmod(F.xxhash64("dup_key"), F.lit(buckets)).cast("int").alias("bucket"), "dup_key", "row_id")
+class Ledger:
+    """The counts so far, one folder a bucket below ``folder``; a folder written before is taken up again."""
 
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-def merge_batch(ledger: DataFrame, batch: DataFrame) -> DataFrame:
-    """The ledger after ``batch`` (from :func:`keyed`): counts added, the smaller representative kept.
+    def read(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return (self.spark.read.schema(LEDGER).parquet(self.folder) if there else self.spark.createDataFrame([], LEDGER)).select(*[c.split()[0] for c in LEDGER.split(", ")])
 
-    Only buckets that the batch touches are joined; bucket numbers are bounded by ``buckets``, so the list of them is small.
-    """
-    new = batch.groupBy("bucket", "dup_key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
-    touched = F.broadcast(new.select("bucket").distinct())
-    matching = ledger.join(touched, "bucket", "left_semi")
-    merged = matching.join(new, ["bucket", "dup_key"], "full_outer").select(
-        "bucket",
-        "dup_key",
-        (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
-        F.least("keep_id", "first_id").alias("keep_id"),
-    )
-    return ledger.join(touched, "bucket", "left_anti").unionByName(merged)
+    def feed(self, batch: DataFrame) -> None:
+        """Add the records of a batch (from :func:`keyed`): counts added, the smaller representative kept."""
+        bucket = F.pmod(F.xxhash64("dup_key"), F.lit(self.buckets)).cast("int").alias("bucket")
+        new = durable(batch.groupBy(bucket, "dup_key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id")))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        matching = self.read().where(F.col("bucket").isin(touched))  # other folders aren't opened
+        merged = matching.join(new, ["bucket", "dup_key"], "full_outer").select(
+            "dup_key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("keep_id", "first_id").alias("keep_id"), "bucket"
+        )
+        # staged in the folder of the ledger and put in the place of the touched buckets when all of it is written
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+        release(new)
 
 
-def build_ledger(rows: DataFrame, batch_no: Column, batches: int) -> DataFrame:
-    """The ledger after feeding ``rows`` (from :func:`keyed`, with what ``batch_no`` needs) in ``batches`` batches.
-
-    Every batch's ledger is written to the shared folder: the next batch starts from the table, not from all earlier work.
-    """
-    numbered = rows.withColumn("batch_no", batch_no)
-    ledger = empty_ledger(rows.sparkSession)
-    for b in range(batches):
-        ledger = durable(merge_batch(ledger, numbered.where(F.col("batch_no") == b)))
-    return ledger
+def feed_all(ledger: Ledger, rows: DataFrame) -> DataFrame:
+    """The ledger after all deliveries of ``rows`` (from :func:`keyed`), in order; the deliveries' numbers are the caller's own, so they are few."""
+    for number in sorted(r[0] for r in rows.select("delivery").distinct().collect()):
+        ledger.feed(rows.where(F.col("delivery") == number))
+    return ledger.read()
 
 
 def copies_of(rows: DataFrame, ledger: DataFrame) -> DataFrame:

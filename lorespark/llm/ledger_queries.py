@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm import ledger as L
-from lorespark.plans.durable import durable
+from lorespark.plans.durable import durable, shared_dir
 from lorespark.sources.tables import table
 
 FIELDS = ["use_case", "test_case"]
-BATCHES = 4
+BUCKETS = 16  # some ten thousand keys each at SCALE 1
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return durable(L.keyed(table(spark, d, "test_cases", "case_id", *FIELDS), "case_id", FIELDS))
+    """Records with their keys; a delivery is half a year of ``created_at``, rows without a date come first."""
+    half = F.year("created_at") * 2 + F.when(F.month("created_at") > 6, 1).otherwise(0)
+    return durable(L.keyed(table(spark, d, "test_cases", "case_id", "created_at", *FIELDS), "case_id", FIELDS, half))
 
 
 def _ledger(rows: DataFrame) -> DataFrame:
-    # the table has no batch number: arrivals are four interleaved deliveries
-    return L.build_ledger(rows, F.pmod("row_id", F.lit(BATCHES)), BATCHES)
+    spark = rows.sparkSession
+    return L.feed_all(L.Ledger(spark, f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", BUCKETS), rows)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
