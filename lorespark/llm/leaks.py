@@ -2,13 +2,13 @@
 
 Seeds are runs of SEED words of a test item: of every NEAR words of the item the run that the fewest items have, so that a copy in which one word of
 five is changed, put in or dropped still holds some (an item of fewer words is its own seed). A document is read once; its seeds vote
-for the items they belong to and for how far the copy is shifted. Where enough votes for one item agree, within SPAN words and up to a
-drift of BAND words, the stretch of the document that the whole item may cover there meets the item, and the two are aligned by words:
+for the items they belong to and for how far the copy is shifted. The stretch of the document that the whole item may cover meets the item
+where either all seeds of WINDOW words of the item (or of all of it, if shorter) vote for the same shift, as they do in every exact copy of these, or
+a share of VOTES of all its seeds vote for nearly the same, as in an edited copy. The two are aligned by words:
 the best local alignment (match +2, mismatch and gap -1) scores whole, partial, edited and paraphrased copies. A pair leaks if its score is
 at least that of WINDOW words in a row (or of the whole item, if it has fewer) and either EDITED of the whole item's, as every edited or
 paraphrased copy of most of an item has, or due to so many words in a row: texts of one subject share phrases that add up to less.
 ``longest_run`` says how many words are the same in a row.
-WINDOW words of an item in a row hold as many agreeing votes as are asked for, by arithmetic, so every such copy is aligned.
 
 At most SMALL_SET seeds are sent to the tasks at once; a larger test set takes several passes, by items, and its items are joined in a shuffle.
 
@@ -31,7 +31,8 @@ from lorespark.llm.shingles import WordHashes, rolled, words
 from lorespark.plans.durable import durable
 
 WINDOW, SEED, NEAR = 13, 3, 5
-VOTES, SPAN, BAND = 3, 40, 16
+VOTES, LEAST_VOTES = 0.15, 4
+BAND = 16  # words of drift within an edited copy, or a quarter of the item
 EDITED = 0.35
 SMALL_SET = 1_000_000  # seeds with their places that may be sent to every task: 24 MB
 REGIONS = "doc_id BIGINT, item_id BIGINT, first_word INT, region_words STRING"
@@ -70,21 +71,37 @@ def seeds_of(items: DataFrame) -> DataFrame:
 
 @dataclass
 class Seeds:
-    """What a task needs of a part of the seeds: the sorted runs, and the items and places of each, by offsets."""
+    """What a task needs of a part of the seeds: the sorted runs and, by offsets, each one's entries: its item, place, and so on."""
 
     run: np.ndarray
     offset: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    length: np.ndarray
+    length: np.ndarray  # words of the item
+    number: np.ndarray  # of the seed in its item, from 0
+    count: np.ndarray  # seeds of the item
+    before: np.ndarray  # place of the seed before it, or -1
+    behind: np.ndarray  # place of the next one, or the number of the item's runs
     sizes: list[int]
 
     @classmethod
     def of(cls, part: pa.Table) -> Seeds:
         seed, item, place, length = (part[c].to_numpy().astype(np.int64) for c in ("seed", "item_id", "place", "n_words"))
+        order = np.lexsort((place, item))
+        seed, item, place, length = seed[order], item[order], place[order], length[order]
+        new = np.ones(len(item), bool)
+        new[1:] = item[1:] != item[:-1]
+        start = np.nonzero(new)[0]
+        group = np.cumsum(new) - 1
+        count = np.diff(np.append(start, len(item)))[group] if len(item) else place
+        before, behind = np.roll(place, 1), np.roll(place, -1)
+        before[new] = -1
+        last = np.roll(new, -1)
+        behind[last] = (length - np.minimum(length, SEED) + 1)[last]
+        number = np.arange(len(item)) - (start[group] if len(item) else 0)
         order = np.argsort(seed.view(np.uint64), kind="stable")
         run, first = np.unique(seed.view(np.uint64)[order], return_index=True)
-        return cls(run, np.append(first, len(seed)), item[order], place[order], length[order], sorted({min(SEED, int(n)) for n in np.unique(length)}))
+        return cls(run, np.append(first, len(seed)), *(x[order] for x in (item, place, length, number, count, before, behind)), sorted({min(SEED, int(n)) for n in np.unique(length)}))
 
     def votes(self, flat: np.ndarray, owner: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the seeds in ``flat``, their entries here)."""
@@ -101,21 +118,37 @@ class Seeds:
         return (np.concatenate(at), np.concatenate(entry)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _agreeing(doc: np.ndarray, item: np.ndarray, place: np.ndarray, shift: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which votes agree: as many as ``wanted`` at different places for one item of one document, within SPAN words and BAND words of shift."""
-    good = np.zeros(len(doc), bool)
-    for start in (0, BAND // 2):
-        band = (shift + start) // BAND
-        order = np.lexsort((place, band, item, doc))
-        d, i, b, p = doc[order], item[order], band[order], place[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
-        order, d, i, b, p = order[new], d[new], i[new], b[new], p[new]
-        for n in range(1, VOTES + 1):
-            k = np.nonzero(wanted[order][: len(order) - n + 1] == n)[0]
-            same = (d[k] == d[k + n - 1]) & (i[k] == i[k + n - 1]) & (b[k] == b[k + n - 1]) & (p[k + n - 1] - p[k] <= SPAN)
-            for j in range(n):
-                good[order[k[same] + j]] = True
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _agreeing(seeds: Seeds, doc: np.ndarray, entry: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Which votes agree, see above."""
+    good, item, number = np.zeros(len(doc), bool), seeds.item[entry], seeds.number[entry]
+    if not len(doc):
+        return good
+    # the same shift: seeds that follow each other, over the places of a whole window
+    order = np.lexsort((number, shift, item, doc))
+    e = entry[order]
+    first = _first(doc[order], item[order], shift[order], number[order] - np.arange(len(order)))
+    start = np.nonzero(first)[0]
+    end = np.append(start[1:], len(order)) - 1
+    wide = seeds.behind[e[end]] - seeds.before[e[start]] - 1
+    runs = seeds.length[e[start]] - np.minimum(seeds.length[e[start]], SEED) + 1
+    good[order[(wide >= np.minimum(runs, WINDOW - SEED + 1))[np.cumsum(first) - 1]]] = True
+    # nearly the same shift: a share of all seeds of the item
+    width = np.maximum(BAND, seeds.length[entry] // 4)
+    for half in (0, 1):
+        band = (shift + half * (width // 2)) // width
+        order = np.lexsort((number, band, item, doc))
+        each = _first(doc[order], item[order], band[order], number[order])
+        first = _first(doc[order], item[order], band[order])
+        group = np.cumsum(first) - 1
+        voted = np.bincount(group, weights=each)
+        good[order[(voted >= np.maximum(LEAST_VOTES, VOTES * seeds.count[entry[order[first]]]))[group]]] = True
     return good
 
 
@@ -138,9 +171,7 @@ def regions(docs: DataFrame, seeds: pa.Table) -> DataFrame:
                 hit, entry = known_seeds.votes(flat, owner, place, lengths)
                 n_words, item = known_seeds.length[entry], known_seeds.item[entry]
                 shift = place[hit] - known_seeds.place[entry]
-                # as many disjoint runs of NEAR words as the shortest copy holds, and a vote in each
-                wanted = np.clip((np.minimum(n_words, WINDOW) - SEED + 1) // (NEAR - SEED + 1), 1, VOTES)
-                good = _agreeing(owner[hit], item, place[hit], shift, wanted)
+                good = _agreeing(known_seeds, owner[hit], entry, shift)
                 doc, item, n_words, shift = owner[hit][good], item[good], n_words[good], shift[good]
                 slack = 8 + n_words // 4
                 low, high = np.maximum(shift - slack, 0), np.minimum(shift + n_words + slack, lengths[doc])
