@@ -11,6 +11,7 @@ from lorespark.llm.vectors import nearest, usable_vectors
 from lorespark.sources.tables import table
 
 DIM, K = 96, 5
+MOST_LISTS = 65_536  # reached at 4.3 thousand million rows
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +21,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of at least 0.85 where one is among the other's five most similar; as many lists as the square root of the rows."""
     rows = table(spark, d, "knowledge_chunks", "id").count()
-    near = nearest(_vectors(spark, d), DIM, K, lists=min(4096, max(1, round(math.sqrt(rows)))), spread=8, floor=0.85, eps=4.0)
+    near = nearest(_vectors(spark, d), DIM, K, lists=min(MOST_LISTS, max(1, round(math.sqrt(rows)))), spread=8, floor=0.85, eps=4.0)
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 

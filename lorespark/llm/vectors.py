@@ -5,7 +5,7 @@ f = <sign vector / sqrt(D), o>. For a query q (rotated, eight bits a coordinate)
 <sign vector / sqrt(D), q> / f; its error is a fraction sqrt(1 - <o, q>^2) of a normal deviate with standard deviation
 sqrt((1 - f^2) / (f^2 (D - 1))). Pairs whose bound reaches the floor, and the k-th best estimate, are reranked with the whole vectors.
 
-Routing keeps the work below all pairs: ``lists`` centroids (fitted on at most SAMPLE vectors, chosen by a hash of the id) cut the
+Routing keeps the work below all pairs: ``lists`` centroids (fitted on at most SAMPLES_A_LIST vectors a list, chosen by a hash of the id) cut the
 sphere into lists; every code is filed under its ``spread`` nearest centroids, a query visits its nearest one. A list that is larger
 than a block is cut into blocks by a hash, codes and queries alike, so no group outgrows a task. Every vector is filed, none is
 capped: a query for which codes cannot tell a crowd of neighbours apart is compared with the whole vectors of the block, which
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lorespark.operators.skew import attach_by_key
 from lorespark.plans.durable import durable
 
-SAMPLE = 20_000
+SAMPLES_A_LIST, LEAST_SAMPLE, MOST_SAMPLE = 4, 20_000, 262_144  # vectors to fit on: 100 MB at most
 CODES_A_BLOCK, QUERIES_A_BLOCK = 40_000, 8_000
+ROWS_A_TASK = 25_000  # codes and queries of one task of the comparison, some 3 MB, unless one block has more
 #: A query that a block answers with more candidates than this (with a floor, without one) is compared with the whole vectors there.
 CROWD = (64, 2_000)
 
@@ -71,8 +72,9 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def fit(nodes: DataFrame, dim: int, lists: int) -> Rotation:
-    """The rotation and centroids, from at most SAMPLE vectors with the smallest hash of their id."""
-    rows = nodes.select("embedding", F.xxhash64("vid").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
+    """The rotation and centroids, from a bounded number of vectors with the smallest hash of their id."""
+    sample = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLES_A_LIST * lists))
+    rows = nodes.select("embedding", F.xxhash64("vid").alias("h")).orderBy("h").limit(sample).select("embedding").toArrow()
     column = rows["embedding"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float32()))
     return Rotation(dim, lists, unit_rows(column, dim).astype(np.float32))
 
@@ -125,21 +127,25 @@ def placed(nodes: DataFrame, rotation: Rotation, dim: int, spread: int) -> DataF
     return lists.join(nodes.select("vid", "embedding"), "vid")
 
 
-def _blocks(codes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(list, code_cuts, query_cuts); one row a list, and the number of lists is a parameter, so this is small."""
+def _blocks(codes: DataFrame, asked: DataFrame) -> tuple[DataFrame, int]:
+    """((list, code_cuts, query_cuts), tasks); one row a list, and the number of lists is a parameter, so this is small."""
     n_codes, n_asked = codes.groupBy("list").agg(F.count("*").alias("n")), asked.groupBy("list").agg(F.count("*").alias("m"))
-    cuts = [(r.list, -(-r.n // CODES_A_BLOCK), -(-r.m // QUERIES_A_BLOCK)) for r in n_codes.join(n_asked, "list").collect()]
-    return F.broadcast(codes.sparkSession.createDataFrame(cuts, "list INT, code_cuts INT, query_cuts INT"))
+    rows = [(r.list, -(-r.n // CODES_A_BLOCK), -(-r.m // QUERIES_A_BLOCK), r.n, r.m) for r in n_codes.join(n_asked, "list").collect()]
+    met = sum(n * query_cuts + m * code_cuts for _, code_cuts, query_cuts, n, m in rows)
+    cuts = codes.sparkSession.createDataFrame([r[:3] for r in rows], "list INT, code_cuts INT, query_cuts INT")
+    return F.broadcast(cuts), max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // ROWS_A_TASK))
 
 
-def _cogrouped(left: DataFrame, right: DataFrame, cuts: DataFrame, compare, schema: str) -> DataFrame:
-    """Every block of codes with every block of queries of its list."""
+def _cogrouped(left: DataFrame, right: DataFrame, blocks: tuple[DataFrame, int], compare, schema: str) -> DataFrame:
+    """Every block of codes with every block of queries of its list, in as many tasks as their rows need: a cogroup isn't split at run time."""
+    cuts, tasks = blocks
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
     rest = lambda df: [c for c in df.columns if c != "list"]
     left = left.join(cuts, "list").select("list", own("code_cuts").alias("cb"), every("query_cuts").alias("qb"), *rest(left))
     right = right.join(cuts, "list").select("list", every("code_cuts").alias("cb"), own("query_cuts").alias("qb"), *rest(right))
     keys = ["list", "cb", "qb"]
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
 
 
