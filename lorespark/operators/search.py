@@ -1,7 +1,9 @@
-"""Retrieval: an inverted index with BM25, exact dense top-k in blocks, fusion and expansion.
+"""Retrieval: a written text index with BM25, exact dense top-k in blocks, fusion and expansion.
 
-Every operator takes a table of queries, so many are answered in one job. The index is three tables (postings, lengths, inverse
-document frequencies) that can be written once and joined for each batch of queries.
+Every operator takes a table of queries, so many are answered in one job. The index is written once (:func:`write_index`) and read by every
+search: one row a text with its tokens and their counts, the tokens' weights, and the table's figures. A search reads it where it lies: each task scores
+its texts against a block of queries, which is broadcast behind a check of its size, and passes on the best ``k`` of each query, so
+what is shuffled is k rows a query and task, however frequent a token is.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import tokens
-from lorespark.operators.skew import SMALL, spread
+from lorespark.operators.graph import SOURCE
+from lorespark.operators.skew import SMALL, small_side, spread
 from lorespark.plans.durable import durable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE, SPARSE, LEAST_SCORE = 0.7, 0.3, 0.1
 QUERIES_A_BLOCK = 500
+SCORES_AT_ONCE = 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,6 +64,108 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return scores.withColumnRenamed("id", "key").join(keyed.select("key", F.col("name").alias("id")), "key").select("query_id", "id", "score")
 
 
+def write_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
+    """The index of ``docs`` below ``folder``, anew: ``texts`` (id, dl, terms, counts), ``weights`` (term, idf) and ``figures`` (n, mean).
+
+    A term is the 64-bit hash of a token. A text without a token has none; rows without an id are left out.
+    """
+    given = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")))
+    hashed = given.select("id", F.size("words").alias("dl"), F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    # a sorted list and its distinct values: a term's count is the distance between its places
+    terms = F.array_distinct("h")
+    placed = hashed.select("id", "dl", "h", terms.alias("terms")).withColumn("at", F.transform("terms", lambda t: F.array_position("h", t)))
+    ends = F.slice(F.array_append("at", (F.size("h") + 1).cast("bigint")), 2, F.greatest(F.size("at"), F.lit(0)))
+    counts = F.transform(F.arrays_zip(F.col("at").alias("a"), ends.alias("b")), lambda x: (x["b"] - x["a"]).cast("int"))
+    placed.select("id", "dl", "terms", counts.alias("counts")).write.mode("overwrite").parquet(f"{folder}/texts")
+    texts = docs.sparkSession.read.parquet(f"{folder}/texts")
+    texts.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{folder}/figures")
+    n = docs.sparkSession.read.parquet(f"{folder}/figures").first()["n"]
+    token_weights(texts.select("id", F.explode("terms").alias("token")), n).withColumnRenamed("token", "term").write.mode("overwrite").parquet(f"{folder}/weights")
+
+
+def _asked(queries: DataFrame, folder: str) -> DataFrame:
+    """(query_id, term, weight): idf times how often the query has the token."""
+    words = queries.select("query_id", F.explode(tokens(F.coalesce("query", F.lit("")))).alias("w")).select("query_id", F.xxhash64("w").alias("term"))
+    counted = words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weights = queries.sparkSession.read.parquet(f"{folder}/weights")
+    return counted.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def bm25_top(queries: DataFrame, folder: str, k: int) -> DataFrame:
+    """(query_id, id, score): each query's best ``k`` texts of a written index that share a token with it, and ties of the last place in a task.
+
+    Queries are answered in blocks of QUERIES_A_BLOCK, a reading of the index each.
+    """
+    spark = queries.sparkSession
+    mean = spark.read.parquet(f"{folder}/figures").first()["mean"]
+    asked = durable(_asked(queries, folder))
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // QUERIES_A_BLOCK))
+    texts = spark.read.parquet(f"{folder}/texts")
+    kinds = [asked.schema["query_id"].dataType, texts.schema["id"].dataType]
+    out = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # the tokens of about QUERIES_A_BLOCK queries
+        names = rows["query_id"].combine_chunks().dictionary_encode() if rows.num_rows else None
+        term = rows["term"].to_numpy()
+        order = np.argsort(term, kind="stable")
+        wanted, first = np.unique(term[order], return_index=True)
+        ask = (wanted, np.append(first, len(term)), names.indices.to_numpy()[order] if names else None, rows["weight"].to_numpy()[order], names.dictionary if names else None)
+        shared = spark.sparkContext.broadcast(ask)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            wanted, offset, query, weight, names = shared.value
+            if not len(wanted):
+                return
+            for whole in batches:
+                step = max(1, SCORES_AT_ONCE // len(names))
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    terms, counts = batch.column("terms"), batch.column("counts")
+                    doc = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+                    term, tf = terms.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
+                    slot = np.minimum(np.searchsorted(wanted, term), len(wanted) - 1)
+                    hit = wanted[slot] == term
+                    doc, tf, slot = doc[hit], tf[hit], slot[hit]
+                    dl = batch.column("dl").to_numpy()[doc]
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                    n = offset[slot + 1] - offset[slot]
+                    if not n.sum():
+                        continue
+                    entry = np.repeat(offset[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    cell = query[entry].astype(np.int64) * batch.num_rows + np.repeat(doc, n)
+                    size = len(names) * batch.num_rows
+                    scores = np.bincount(cell, weights=weight[entry] * np.repeat(part, n), minlength=size).reshape(len(names), -1)
+                    met = np.zeros(size, bool)
+                    met[cell] = True
+                    scores = np.where(met.reshape(scores.shape), np.round(scores, 9), -np.inf)
+                    most = min(k, batch.num_rows)
+                    least = np.partition(scores, batch.num_rows - most, axis=1)[:, batch.num_rows - most]
+                    q, d = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                    yield pa.record_batch([names.take(pa.array(q)), batch.column("id").take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "id", "score"])
+
+        found = texts.mapInArrow(run, f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score DOUBLE")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def bm25_of(pairs: DataFrame, queries: DataFrame, folder: str) -> DataFrame:
+    """(query_id, id, score) of given pairs that share a token."""
+    spark = queries.sparkSession
+    mean = spark.read.parquet(f"{folder}/figures").first()["mean"]
+    texts = spark.read.parquet(f"{folder}/texts").join(small_side(pairs.select("id").distinct()), "id", "left_semi")
+    held = pairs.select("query_id", "id").join(texts, "id").select("query_id", "id", "dl", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+    met = held.select("query_id", "id", "dl", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf")).join(_asked(queries, folder), ["query_id", "term"])
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * part).alias("score"))
+
+
+def over_best(scores: DataFrame, best: DataFrame) -> DataFrame:
+    """Scores over the highest of each query in ``best``, where that is positive."""
+    top = best.groupBy("query_id").agg(F.max("score").alias("top"))
+    return scores.join(top, "query_id").select("query_id", "id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))
+
+
 def normalised(scores: DataFrame) -> DataFrame:
     """Scores over each query's highest, where that is positive."""
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
@@ -75,37 +181,39 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 def dense_scores(queries: DataFrame, docs: DataFrame, id_col: str, vector_col: str, dim: int, k: int) -> DataFrame:
     """(query_id, id, score): each query's best ``k`` by cosine among the usable vectors, six decimals, then id.
 
-    Queries are packed into blocks of QUERIES_A_BLOCK; each task multiplies its vectors with a block and passes on k rows a query, so
-    what is shuffled is k rows a query and task. Null, wrong-length, zero and non-finite vectors match nothing.
+    Each task multiplies its vectors with a broadcast block of QUERIES_A_BLOCK queries and passes on k rows a query, so what is shuffled is k
+    rows a query and batch; every further block is another reading of the vectors. Null, wrong-length, zero and non-finite vectors match nothing.
     """
     usable = lambda c: (F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(c, lambda x: x != 0)
-    n = max(1, -(-queries.count() // QUERIES_A_BLOCK))
-    asked = queries.where(usable(F.col("vector"))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    blocks = asked.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors"))
-    own = docs.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    asked = durable(queries.where(usable(F.col("vector"))).select("query_id", F.col("vector").cast("array<double>").alias("vector")))
+    blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
+    own = spread(docs.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")))
     kinds = [queries.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()]
 
     def unit(column: pa.Array) -> np.ndarray:
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, blocks_of, vectors = batch.column("id"), np.array(batch.column("block")), unit(batch.column("v"))
-            for block in np.unique(blocks_of):
-                rows = np.nonzero(blocks_of == block)[0]
-                q = pa.array(batch.column("vectors").slice(int(rows[0]), 1).flatten())
-                names = batch.column("ids").slice(int(rows[0]), 1).flatten()
-                q = q.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ vectors[rows].T, 6)
+    out = None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # about QUERIES_A_BLOCK vectors
+        empty = pa.array([], pa.list_(pa.float64()))
+        shared = docs.sparkSession.sparkContext.broadcast((part["query_id"].combine_chunks(), unit(part["vector"].combine_chunks() if part.num_rows else empty)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, asked_for = shared.value
+            for batch in batches:
+                if not len(names) or not batch.num_rows:
+                    continue
+                cos = np.round(asked_for @ unit(batch.column("v")).T, 6)
                 most = min(k, cos.shape[1])
                 least = np.partition(cos, cos.shape[1] - most, axis=1)[:, cos.shape[1] - most]
                 a, b = np.nonzero(cos >= least[:, None])  # ties of the last place too
-                yield pa.record_batch([names.take(pa.array(a)), ids.take(pa.array(rows[b])), pa.array(cos[a, b])], names=["query_id", "id", "score"])
+                yield pa.record_batch([names.take(pa.array(a)), batch.column("id").take(pa.array(b)), pa.array(cos[a, b])], names=["query_id", "id", "score"])
 
-    pairs = own.join(F.broadcast(blocks) if n == 1 else blocks, "block")
-    return top_k(pairs.select("id", "block", "v", "ids", "vectors").mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE"), k).drop("rank")
+        found = own.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k).drop("rank")
 
 
 def fused(dense: DataFrame, sparse: DataFrame, all_sparse: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -116,12 +224,41 @@ def fused(dense: DataFrame, sparse: DataFrame, all_sparse: DataFrame, least: flo
     return both.select("query_id", "id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, vector_col: str, dim: int, k: int = 5) -> DataFrame:
-    """(query_id, id, score, rank): queries with query_id, query and vector; filters belong in ``docs``, so both arms see them."""
-    sparse = normalised(bm25(queries, docs, id_col, text_col))
-    dense = dense_scores(queries, docs, id_col, vector_col, dim, 5 * k)
-    best = top_k(sparse.where("score > 0"), 5 * k).drop("rank")
-    return top_k(fused(dense, best, sparse), k)
+def hybrid(queries: DataFrame, docs: DataFrame, id_col: str, vector_col: str, dim: int, folder: str, k: int = 5, wide: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): queries with query_id, query and vector, against ``docs`` and the index that was written of the same rows.
+
+    Filters belong in ``docs`` before its index is written, so both arms see them. ``wide`` candidates an arm, 5 k unless given.
+    """
+    return fused_top(queries, dense_scores(queries, docs, id_col, vector_col, dim, wide or 5 * k), folder, k, wide or 5 * k)
+
+
+def fused_top(queries: DataFrame, dense: DataFrame, folder: str, k: int, wide: int) -> DataFrame:
+    """The best ``k`` of dense candidates and the index's ``wide`` best of each query."""
+    dense, best = durable(dense), durable(bm25_top(queries, folder, wide))
+    sparse = over_best(best, best).where("score > 0")
+    back = over_best(bm25_of(dense.join(best, ["query_id", "id"], "left_anti"), queries, folder), best)
+    return top_k(fused(dense, top_k(sparse, wide).drop("rank"), back), k)
+
+
+def expanded(ranked: DataFrame, edges: DataFrame, belongs: DataFrame, most: int = 3, hops: int = 2) -> DataFrame:
+    """``ranked`` and, behind it, up to ``most`` chunks a query that the graph relates to its results and that aren't among them, by distance and id, score 0.
+
+    Walks start from the results of all queries at once; a chunk counts for the queries whose results it is near to.
+    """
+    front = ranked.select("query_id", "id").withColumn("dist", F.lit(0))
+    reached = front
+    for hop in range(1, hops + 1):
+        step = edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).join(front.select("query_id", "id"), "id").select("query_id", F.col("next").alias("id")).distinct()
+        source = step.where(F.col("id").startswith(SOURCE))
+        inside = belongs.select(F.col("src").alias("id"), F.col("dst").alias("next")).join(source, "id").select("query_id", F.col("next").alias("id"))
+        step = step.where(~F.col("id").startswith(SOURCE)).union(inside).distinct()
+        front = durable(step.join(reached.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("dist", F.lit(hop)))
+        reached = reached.unionByName(front)
+    w = Window.partitionBy("query_id").orderBy("dist", "id")
+    near = reached.where("dist > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    last = ranked.groupBy("query_id").agg(F.max("rank").alias("last"))
+    more = near.join(last, "query_id").select("query_id", "id", F.lit(0.0).alias("score"), (F.col("last") + F.col("n")).cast("int").alias("rank"))
+    return ranked.select("query_id", "id", "score", "rank").unionByName(more)
 
 
 def max_fusion(scores: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ Generator = Callable[[str], str]
 
 
 def ingest(docs: DataFrame, folder: str) -> None:
-    """Documents (doc_id, text, source_name, source_type) to tables of chunks, vectors, postings and edges below ``folder``."""
+    """Documents (doc_id, text, source_name, source_type) to tables of chunks, vectors, the text index and edges below ``folder``."""
     spark = docs.sparkSession
     parent_child_chunks(docs.withColumn("text", clean_text(F.col("text"))), "doc_id").write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
     S.hashed_vectors(chunks.where("chunk_type = 'child'"), "id", "text", DIM).write.mode("overwrite").parquet(f"{folder}/vectors")
-    S.postings(chunks.where("chunk_type = 'child'"), "id", "text").write.mode("overwrite").parquet(f"{folder}/postings")
+    S.write_index(chunks.where("chunk_type = 'child'"), "id", "text", f"{folder}/index")
     placed = chunks.withColumn("place", F.col("pos"))
     G.all_edges(placed, chunks.select("source_name").distinct()).write.mode("overwrite").parquet(f"{folder}/edges")
 
@@ -35,7 +35,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5) ->
     chunks = spark.read.parquet(f"{folder}/chunks")
     children = chunks.where("chunk_type = 'child'").join(spark.read.parquet(f"{folder}/vectors"), "id")
     own = S.hashed_vectors(queries, "query_id", "query", DIM).select(F.col("id").alias("query_id"), "vector")
-    ranked = S.hybrid(queries.join(own, "query_id"), children, "id", "text", "vector", DIM, k)
+    ranked = S.hybrid(queries.join(own, "query_id"), children, "id", "vector", DIM, f"{folder}/index", k)
     return S.parents_for_children(ranked, chunks).join(chunks.select("id", "text"), "id")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,32 @@ def test_components_with_a_hub(spark):
     star = spark.range(3000).select(F.lit("a").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
     out = G.components(star, spark.createDataFrame([("zz",)], "id STRING"))
     assert {tuple(r) for r in out.groupBy("component").count().collect()} == {("a", 3001), ("zz", 1)}
+
+
+def test_written_index_equals_all_pairs(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    texts = [(f"d{i:03}", " ".join(r.choices("abcdefghijklmnop", k=r.randrange(0, 30))) or None) for i in range(300)] + [(None, "a b"), ("e", "")]
+    docs = spark.createDataFrame([(*t, "x") for t in texts], "id STRING, text STRING, terms STRING")
+    q = spark.createDataFrame([(i, " ".join(r.choices("abcdefghijklmnopqz", k=6))) for i in range(12)] + [(90, ""), (91, None)], "query_id BIGINT, query STRING")
+    folder = f"file://{tmp_path}/index"
+    S.write_index(docs, "id", "text", folder)
+    every = {(x.query_id, x.id): x.score for x in S.bm25(q, docs.where("id IS NOT NULL"), "id", "text").collect()}
+    monkeypatch.setattr(S, "QUERIES_A_BLOCK", 5)
+    monkeypatch.setattr(S, "SCORES_AT_ONCE", 100)
+    got = {(x.query_id, x.id): x.score for x in S.bm25_top(q, folder, 7).collect()}
+    for n in {k for k, _ in every}:
+        best = sorted(((round(-s, 6), i) for (k, i), s in every.items() if k == n))[:7]
+        assert [round(-got[n, i], 6) for _, i in best] == [s for s, _ in best]
+    assert len(got) == sum(min(7, sum(k == n for k, _ in every)) for n in {k for k, _ in every})
+    pairs = spark.createDataFrame([(0, "d001"), (3, "d200"), (3, "nobody")], "query_id BIGINT, id STRING")
+    assert all(x.score == pytest.approx(every[x.query_id, x.id]) for x in S.bm25_of(pairs, q, folder).collect())
+    S.write_index(docs.limit(0), "id", "text", folder)
+    assert S.bm25_top(q, folder, 7).isEmpty()
+
+
+def test_graph_expansion(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("a", "source:s")], "src STRING, dst STRING")
+    belongs = spark.createDataFrame([("source:s", "z"), ("source:s", "a")], "src STRING, dst STRING")
+    ranked = spark.createDataFrame([(1, "a", 0.9, 1), (1, "c", 0.5, 2), (2, "q", 0.4, 1)], "query_id BIGINT, id STRING, score DOUBLE, rank INT")
+    got = {tuple(r) for r in S.expanded(ranked, edges, belongs, 2).collect()}
+    assert got == {(1, "a", 0.9, 1), (1, "c", 0.5, 2), (1, "b", 0.0, 3), (1, "z", 0.0, 4), (2, "q", 0.4, 1)}
