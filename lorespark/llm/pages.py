@@ -2,11 +2,13 @@
 
 A page is text, one line per block, so a block's path is what its line generalises to: its letters with the site's name, digits and
 decoration masked (menus, notices, footers), its first segment if it is a trail, its first word and shape if it names a person,
-its first words if it is a date. The containers of a page are its runs of such lines; a run is scored by how little it looks like prose
-(short lines, no sentence end) and by whether an opener leads a list of titles.
+its first words if it is a date. The containers of a page are its runs of lines between blank lines, headings and the title; a container is
+scored by how little of it is prose (the share of its words that stand in no sentence). A line's score is a third its container's and two thirds its
+own; an opener is a line that leads a list of titles.
 
-Every page votes once for each of its paths; Spark counts the votes per host, and over hosts for sites with few pages. Paths with
-enough votes win, an opener wins if titles follow it on most pages. The pages are then read again with the winning paths of their host:
+Every page votes once for each of its paths, with its line's score; Spark counts the votes and averages the scores per host, and over hosts
+for sites with few pages. A path wins with the votes of a share of the pages, the more of them the more its containers look like prose
+(SHARE to SENTENCE_SHARE), so that an article's own lines do not win; an opener wins if titles follow it on most pages. The pages are then read again with the winning paths of their host:
 lines on a winning path are furniture, as are the titles under a winning opener; page title, headings, lists, table rows and
 paragraphs stay. Votes are combined before each shuffle, and a host that owns a third of all pages joins its paths by broadcast.
 
@@ -31,6 +33,7 @@ from lorespark.operators.skew import attach_by_key
 from lorespark.plans.durable import durable
 
 SHARE, SENTENCE_SHARE, LEAST_PAGES, LEAST_HOSTS, OPENER_SHARE = 0.06, 0.15, 3, 4, 0.4
+SMALL_HOST = 200  # pages
 
 _LEAD, _TAIL = " \t\r\u2009\u200b\ufeff»›•*·-–>", " \t\r\u2009\u200b»›!"
 _COUNT = re.compile(r"\s*\(\d+\)\Z")
@@ -116,11 +119,26 @@ def _site(host: str | None) -> str:
     return _LETTERS.sub("", (host or "").split(".")[0].casefold())
 
 
-VOTES = "host STRING, page BIGINT, path STRING, opens INT, sentence INT"
+def line_scores(lines: list[Line | None], title: int | None) -> list[float]:
+    """How much each line looks like furniture, 0 to 1: one third its container's score, two thirds its own."""
+    out, run, bounds = [0.0] * len(lines), [], [n for n, x in enumerate(lines) if x is None or x.heading or n == title] + [len(lines)]
+    start = 0
+    for end in bounds:
+        run = range(start, end)
+        n_words = [len(lines[n].text.split()) for n in run]
+        prose = sum(w for n, w in zip(run, n_words, strict=True) if lines[n].sentence)
+        score = 1 - prose / max(1, sum(n_words))
+        for n in run:
+            out[n] = (score + 2 * (not lines[n].sentence)) / 3
+        start = end + 1
+    return out
+
+
+VOTES = "host STRING, page BIGINT, path STRING, opens INT, score DOUBLE"
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """``VOTES``: once for each path of each page; ``opens`` is 1 where titles follow the line, directly."""
+    """``VOTES``: once for each path of each page, by its best scored line; ``opens`` is 1 where titles follow the line, directly."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,6 +146,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
             for host, page, url, text in zip(batch["host"], batch["page"], batch["page_url"], batch["text"], strict=True):
                 lines = [read_line(x, _site(host)) for x in text.split("\n")]
                 title, seen = title_line(lines, url), {}
+                scores = line_scores(lines, title)
                 before = None
                 for n, line in enumerate(lines):
                     if not line:
@@ -138,33 +157,34 @@ def page_votes(pages: DataFrame) -> DataFrame:
                     after = lines[n + 1 : n + 3]
                     opens = int(not led and len(after) == 2 and all(x and x.titled for x in after) and title not in (n + 1, n + 2))
                     for path in line.paths:
-                        old = seen.get(path, (0, 0))
-                        seen[path] = (max(opens, old[0]), int(line.sentence))
+                        old = seen.get(path, (0, 0.0))
+                        seen[path] = (max(opens, old[0]), max(scores[n], old[1]))
                 rows += [(host, page, path, o, s) for path, (o, s) in seen.items()]
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["host", "page", "path", "opens", "sentence"])
+                    yield pd.DataFrame(rows, columns=["host", "page", "path", "opens", "score"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "opens", "sentence"])
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "opens", "score"])
 
     return pages.select("host", "page", "page_url", "text").mapInPandas(run, VOTES)
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
     """(host, pages, paths, openers) with the winning paths of every host."""
-    once = votes.groupBy("host", "path", "page").agg(F.max("opens").alias("opens"), F.max("sentence").alias("sentence"))
-    counted = once.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("opens").alias("opens"), F.max("sentence").alias("sentence"))
+    once = votes.groupBy("host", "path", "page").agg(F.max("opens").alias("opens"), F.max("score").alias("score"))
+    counted = once.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("opens").alias("opens"), F.avg("score").alias("score"))
     counted = durable(counted)
     sizes = votes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     shares = durable(counted.join(sizes, "host"))
+    prose = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("score"))  # 0 for a short line among such, 1 for a sentence among such
+    more = F.when(prose > 0.6, 1).otherwise(0)
     # what wins at many hosts wins at those with too few pages to vote
-    local = F.when(F.col("sentence") == 1, F.col("n") >= F.greatest(F.lit(3), 0.1 * F.col("pages"))).otherwise(F.col("n") >= F.greatest(F.lit(2), 0.03 * F.col("pages")))
-    common = shares.where(local).groupBy("path").agg(F.count("*").alias("hosts"), F.avg("opens").alias("open_at"), F.max("sentence").alias("sentence"))
-    common = common.where((F.col("hosts") >= LEAST_HOSTS) & F.when(F.col("sentence") == 1, F.col("hosts") >= 2 * LEAST_HOSTS).otherwise(True))
-    needed = F.when(F.col("sentence") == 1, F.greatest(F.lit(LEAST_PAGES + 1), SENTENCE_SHARE * F.col("pages"))).otherwise(
-        F.greatest(F.lit(LEAST_PAGES), SHARE * F.col("pages"))
-    )
+    local = F.col("n") >= F.greatest(2 + more, (0.03 + 0.07 * prose) * F.col("pages"))
+    common = shares.where(local).groupBy("path").agg(F.count("*").alias("hosts"), F.avg("opens").alias("open_at"), F.avg("score").alias("score"))
+    common = common.where(F.col("hosts") >= LEAST_HOSTS * (1 + more)).select("path", "open_at")
+    needed = F.greatest(LEAST_PAGES + more, (SHARE + (SENTENCE_SHARE - SHARE) * prose) * F.col("pages"))
     own = shares.where(F.col("n") >= needed).select("host", "path", F.col("opens") >= OPENER_SHARE)
-    lent = shares.select("host", "path").join(common, "path").select("host", "path", F.col("open_at") >= OPENER_SHARE)
+    # a host of many pages shows a common path on some of them, so that what is lent to one host is bounded as its own paths are
+    lent = shares.where((F.col("pages") <= SMALL_HOST) | (F.col("n") >= 0.01 * F.col("pages"))).select("host", "path").join(common, "path").select("host", "path", F.col("open_at") >= OPENER_SHARE)
     won = own.union(lent).toDF("host", "path", "opener").groupBy("host", "path").agg(F.max("opener").alias("opener"))
     # a path needs a share of the pages, so a host has boundedly many
     per_host = won.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list(F.when(F.col("opener"), F.col("path"))).alias("openers"))
