@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
+from lorespark.llm import history_queries, leak_queries, ledger_queries, packing_queries, page_queries, pii_queries, repeat_queries, split_queries, vector_queries
 
-MODULES = ["ledger_queries", "split_queries", "packing_queries", "vector_queries", "history_queries", "leak_queries", "repeat_queries", "pii_queries", "page_queries"]
+MODULES = (ledger_queries, split_queries, packing_queries, vector_queries, history_queries, leak_queries, repeat_queries, pii_queries, page_queries)
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in MODULES:
-    try:
-        _module = importlib.import_module(f"lorespark.llm.{_name}")
-    except ModuleNotFoundError as missing:  # a module not written yet
-        if _name not in str(missing):
-            raise
-        continue
+for _module in MODULES:
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
