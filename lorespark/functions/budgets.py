@@ -35,3 +35,26 @@ def context_bucket(needed: Column, window: Column) -> Column:
 def answer_hint(chars: Column) -> Column:
     """Expected answer tokens of a text: at least three items, one a 500 characters."""
     return F.floor(F.greatest(F.lit(3), F.floor(chars / 500)) * 400 * 1.5)
+
+
+def knowledge_cap(budget: Column, document_chars: Column, ratio: int = 3) -> Column:
+    """Context characters: the budget, but no more than ``ratio`` times the document."""
+    return F.least(budget, document_chars * ratio)
+
+
+def cases_hint(max_cases: Column, chars: Column) -> Column:
+    """Expected answer tokens: for a number of cases, if one is given, else by the text."""
+    return F.when(max_cases > 0, F.floor(max_cases * 400 * F.lit(1.3))).otherwise(answer_hint(chars))
+
+
+def reasoning_budget(model: Column, output: Column, window: Column, prompt_chars: Column) -> Column:
+    """Models that think aloud get four times the tokens, bounded by what the window leaves."""
+    thinks = F.lower(model).rlike("deepseek-r1|r1:|r1-|/r1")
+    left = F.greatest(window - F.floor(prompt_chars / CHARS_A_TOKEN), output)
+    return F.when(thinks, F.least(output * 4, left)).otherwise(output)
+
+
+def output_limit(parameters: Column) -> Column:
+    """The most tokens to ask of a model by its number of parameters; unknown counts as large."""
+    known = F.coalesce(parameters, F.lit(0)) > 0
+    return F.when(known & (parameters < 2_000_000_000), 2048).when(known & (parameters < 10_000_000_000), 4096).otherwise(8192)

@@ -139,3 +139,31 @@ def semantic_first(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
         rest = rest.join(gone.select(F.col("id").alias("b")), "b", "left_anti").join(gone.select(F.col("id").alias("a")), "a", "left_anti")
         open_pairs = durable(rest.select("a", "b"))
     return vectors.select("id") if dropped is None else vectors.select("id").join(dropped, "id", "left_anti")
+
+
+def merged_in_order(parts: DataFrame, part_col: str, pos_col: str) -> DataFrame:
+    """The cases of all parts of a suite with their place in it, by part and position; a part that gave nothing adds nothing.
+
+    Sizes of parts come first, so no suite is sorted by one task. ``parts`` has suite_id and case_id.
+    """
+    sizes = parts.groupBy("suite_id", part_col).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("suite_id").orderBy(part_col).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("suite_id", part_col, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("suite_id", part_col).orderBy(pos_col, "case_id")
+    known = parts.where("suite_id IS NOT NULL").withColumn(part_col, F.coalesce(part_col, F.lit(-1)))
+    starts = starts.where("suite_id IS NOT NULL").withColumn(part_col, F.coalesce(part_col, F.lit(-1)))
+    return known.join(starts, ["suite_id", part_col]).withColumn("place", F.col("start") + F.row_number().over(inside)).drop("start")
+
+
+def completed(cases: DataFrame, missing: DataFrame, order: list[str]) -> DataFrame:
+    """A suite with the cases that a checklist pass found missing behind its own, each signature once, its own first."""
+    own, more = cases.withColumn("_added", F.lit(0)), missing.withColumn("_added", F.lit(1))
+    return first_by_signature(own.unionByName(more, allowMissingColumns=True), ["_added", *order]).drop("_added")
+
+
+def reviewed(cases: DataFrame, improved: DataFrame) -> DataFrame:
+    """Of each suite the reviewer's cases if there are any with a title, else the suite as it was."""
+    valid = improved.where(F.coalesce(strip(F.col("test_case")), F.lit("")) != "")
+    suites = valid.select("suite_id").distinct()
+    kept = cases.join(F.broadcast(suites) if suites.count() <= 1_000_000 else suites, "suite_id", "left_anti")
+    return kept.unionByName(valid, allowMissingColumns=True)

@@ -8,18 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What :func:`durable` has written, by application, until :func:`sweep`.
+_WRITTEN: dict[str, list[str]] = {}
 #: Folders of our own, by application, where the setting is missing.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return _OWN[app]
 
 
@@ -30,6 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lorespark-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,3 +50,8 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]}
         delete_folders(df.sparkSession, *(f for f in folders if f.rsplit("/", 1)[-1].startswith("lorespark-")))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that :func:`durable` has written in this application; for callers whose results are written."""
+    delete_folders(spark, *_WRITTEN.pop(spark.sparkContext.applicationId, []))

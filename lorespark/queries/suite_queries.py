@@ -94,6 +94,25 @@ def semantic_dedup(spark, d):
     return U.semantic_first(heads, U.similar_pairs(cases)).select(F.col("id").alias("case_id"))
 
 
+def suite_merged(spark, d):
+    """Each suite's cases in the order of their use cases' parts, numbered through."""
+    cases = _cases(spark, d).select("case_id", "suite_id", "pos", F.floor(F.col("pos") / 10).alias("part"))
+    return U.merged_in_order(cases, "part", "pos").select("case_id", "suite_id", "place")
+
+
+def suite_completed(spark, d):
+    """Suites of the first half of the positions, completed by those of the other half whose wording they lack."""
+    cases = _cases(spark, d).where("suite_id IS NOT NULL").select("case_id", "suite_id", "pos", "use_case", "test_case", "steps")
+    return U.completed(cases.where("pos <= 30"), cases.where("pos > 30"), ["suite_id", "pos"]).select("case_id", "suite_id")
+
+
+def suite_reviewed(spark, d):
+    """Every other suite was reviewed; the review kept its cases of high priority that have a title."""
+    cases = _cases(spark, d).select("case_id", "suite_id", "test_case", "priority")
+    improved = cases.where(F.pmod("suite_id", F.lit(2)) == 0).where("lower(trim(priority)) = 'high'")
+    return U.reviewed(cases, improved).select("case_id", "suite_id")
+
+
 def event_categories(spark, d):
     """Events by type, each counted once under the first category that matches."""
     kind = F.lower("event_type")
@@ -123,6 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dedup, enum_coerce, prioritize, missing_dependencies, quality_score, suite_quality, export_flatten, continuation_new, short_suites, reply_cases, semantic_pairs, semantic_dedup,
+        suite_merged, suite_completed, suite_reviewed,
         event_categories, stage_share, throughput,
     )
 }
@@ -171,6 +191,15 @@ WITH w AS (
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suite_id, t ORDER BY pos, case_id) AS n FROM w WHERE len(t) > 0) WHERE n = 1)
 SELECT x.case_id AS a, y.case_id AS b FROM h x JOIN h y ON x.suite_id = y.suite_id AND (x.pos, x.case_id) < (y.pos, y.case_id)
 WHERE len(list_intersect(x.t, y.t)) ** 2 > 0.7225 * len(x.t) * len(y.t)""",
+    "suite_merged": """
+SELECT case_id, suite_id, row_number() OVER (PARTITION BY suite_id ORDER BY coalesce(floor(pos / 10), -1), pos NULLS FIRST, case_id) AS place FROM test_cases WHERE suite_id IS NOT NULL""",
+    "suite_completed": f"""
+SELECT case_id, suite_id FROM (SELECT *, row_number() OVER (PARTITION BY
+  {_FORM.format('use_case')}, {_FORM.format('test_case')}, array_to_string(list_transform(list_filter(coalesce(steps, []), lambda s: s IS NOT NULL), lambda s: {_FORM.format('s')}), ' ')
+  ORDER BY CASE WHEN pos <= 30 THEN 0 ELSE 1 END, suite_id, pos, case_id) AS n FROM test_cases WHERE suite_id IS NOT NULL AND pos IS NOT NULL) WHERE n = 1""",
+    "suite_reviewed": r"""
+WITH v AS (SELECT case_id, suite_id FROM test_cases WHERE suite_id % 2 = 0 AND lower(trim(priority)) = 'high' AND regexp_matches(coalesce(test_case, ''), '[^\s\p{Z}]'))
+SELECT case_id, suite_id FROM test_cases WHERE suite_id IS NULL OR suite_id NOT IN (SELECT suite_id FROM v) UNION ALL SELECT case_id, suite_id FROM v""",
     "event_categories": """
 SELECT sum(CASE WHEN contains(lower(event_type), 'err') THEN 1 ELSE 0 END)::BIGINT AS errors,
   sum(CASE WHEN NOT contains(lower(event_type), 'err') AND contains(lower(event_type), 'sign') THEN 1 ELSE 0 END)::BIGINT AS signs,

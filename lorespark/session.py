@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,7 +15,9 @@ SETTINGS = {
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "lorespark", **extra: str) -> SparkSession:
-    """A local session for tests and benches. On a cluster the submitter's own settings are used instead."""
+    """A local session for tests and benches, with a checkpoint folder of its own. On a cluster the submitter's own settings are used instead."""
+    if master.startswith("local"):
+        extra.setdefault("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
     builder = SparkSession.builder.master(master).appName(app).config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, "spark.ui.enabled": "false", **extra}.items():
         builder = builder.config(key, value)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators.skew import first_rows
 from lorespark.operators.suite import flattened
+from lorespark.plans.durable import delete_folders
 
 
 def with_default_ids(entries: DataFrame, id_col: str, pos_col: str) -> DataFrame:
@@ -52,3 +53,39 @@ def export(cases: DataFrame, kind: str, folder: str) -> None:
         flattened(cases).write.mode("overwrite").option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
     else:
         raise ValueError(f"unknown export format: {kind}")
+
+
+def save_graph(edges: DataFrame, nodes: DataFrame, folder: str) -> None:
+    """Nodes and edges as tables below ``folder``, anew."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def load_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges) of a saved graph, or nothing where there is none."""
+    parts = [f"{folder}/{part}" for part in ("nodes", "edges")]
+    return tuple(map(spark.read.parquet, parts)) if all(exists(spark, p) for p in parts) else None
+
+
+def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of node-link JSON files, one document a file; edges stand under ``links`` or ``edges``. A file that can't be read gives none."""
+    known = "id STRING"
+    edge = "source STRING, target STRING, relation STRING, weight BIGINT"
+    docs = spark.read.schema(f"nodes ARRAY<STRUCT<{known.replace(' ', ': ')}>>, links ARRAY<STRUCT<{_fields(edge)}>>, edges ARRAY<STRUCT<{_fields(edge)}>>").option("multiLine", True).json(path)
+    nodes = docs.select(F.explode("nodes").alias("n")).select("n.id").where("id IS NOT NULL")
+    edges = docs.select(F.explode(F.coalesce("links", "edges")).alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.relation", "e.weight")
+    return nodes, edges.where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(": ".join(part.split()) for part in ddl.split(", "))
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def reset(spark: SparkSession, folder: str) -> None:
+    """Delete a store, an index or a graph; one that isn't there is no error."""
+    delete_folders(spark, folder)

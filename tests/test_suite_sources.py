@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark import config
 from lorespark.functions import modeljson as J
+from lorespark.functions import prompts as P
 from lorespark.operators import suite as U
 from lorespark.plans import pipeline
 from lorespark.sources import documents as D
@@ -183,3 +184,40 @@ def test_unknown_priority_counts_as_medium(spark):
     rows = [(1, 1, "low", 0), (2, 1, "??", 1), (3, 1, None, 2), (4, 1, "Medium ", 3), (5, 1, "HIGH", 4)]
     df = spark.createDataFrame([(*r, None) for r in rows], "case_id BIGINT, suite_id BIGINT, priority STRING, pos INT, dependencies ARRAY<STRING>")
     assert [r.case_id for r in U.prioritised(df).orderBy("place").collect()] == [5, 2, 3, 4, 1]
+
+
+def test_graph_store(spark, tmp_path):
+    folder = f"file://{tmp_path}/graph"
+    assert K.load_graph(spark, folder) is None
+    K.save_graph(spark.createDataFrame([("a", "b")], "src STRING, dst STRING"), spark.createDataFrame([("a",), ("b",)], "id STRING"), folder)
+    nodes, edges = K.load_graph(spark, folder)
+    assert nodes.count() == 2 and edges.count() == 1
+    K.reset(spark, folder)
+    K.reset(spark, folder)
+    assert K.load_graph(spark, folder) is None
+    (tmp_path / "a.json").write_text('{"nodes": [{"id": "x"}, {"id": "y"}], "links": [{"source": "x", "target": "y", "relation": "parent_of"}]}')
+    (tmp_path / "b.json").write_text('{"nodes": [{"id": "z"}], "edges": [{"source": "z", "target": "x", "weight": 2}]}')
+    (tmp_path / "c.json").write_text("{broken")
+    nodes, edges = K.node_link(spark, f"file://{tmp_path}/*.json")
+    assert {r.id for r in nodes.collect()} == {"x", "y", "z"} and {(r.src, r.dst, r.relation, r.weight) for r in edges.collect()} == {("x", "y", "parent_of", None), ("z", "x", None, 2)}
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("doc", "ctx", "api", 3), ("doc", None, "web", 0), (None, "", None, None)], "d STRING, c STRING, a STRING, n INT")
+    one, two, three = [r[0] for r in df.select(P.generation_prompt(F.col("d"), F.col("c"), F.col("a"), F.col("n"))).collect()]
+    assert "ctx" in one and "exactly 3" in one and "malformed" in one and "known about" not in two and "exactly" not in two and "<<<DOCUMENT\n\nDOCUMENT>>>" in three
+    long = spark.createDataFrame([("x" * 9000,)], "p STRING").select(F.length(P.within_window(F.col("p"), F.lit(2048), 0)), F.length(P.within_window(F.col("p"), F.lit(100), 0))).first()
+    assert tuple(long) == ((2048 - 256) * 3, 0)
+    joined = spark.createDataFrame([("[Context 1]\na\n\n[Context 2]\nb [x]",), ("",)], "c STRING").select(P.split_labelled(F.col("c"))).collect()
+    assert [r[0] for r in joined] == [["[Context 1]\na", "[Context 2]\nb [x]"], []]
+
+
+def test_suite_passes(spark):
+    kind = "case_id BIGINT, suite_id BIGINT, pos INT, part INT, use_case STRING, test_case STRING, steps ARRAY<STRING>"
+    rows = [(1, 1, 1, 0, "u", "One", ["a"]), (2, 1, 2, 0, "u", "two", None), (3, 2, 1, 1, "u", "x", None), (4, None, 1, None, "u", "y", None)]
+    cases = spark.createDataFrame(rows, kind)
+    more = spark.createDataFrame([(9, 1, 0, None, "u", "ONE!", ["A"]), (8, 1, 5, 1, "u", "three", None), (7, 2, 1, 0, "u", " ", None)], kind)
+    assert {r.case_id for r in U.completed(cases, more, ["suite_id", "pos"]).collect()} == {1, 2, 3, 4, 7, 8}
+    assert {r.case_id for r in U.reviewed(cases, more).collect()} == {9, 8, 3, 4}
+    assert [(r.case_id, r.place) for r in U.merged_in_order(cases.unionByName(more), "part", "pos").where("suite_id = 1").orderBy("place").collect()] == [(9, 1), (1, 2), (2, 3), (8, 4)]
+    assert U.reviewed(cases, more.limit(0)).count() == 4 and U.merged_in_order(cases.limit(0), "part", "pos").isEmpty()
