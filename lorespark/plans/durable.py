@@ -55,3 +55,18 @@ def release(*frames: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Delete all that :func:`durable` has written in this application; for callers whose results are written."""
     delete_folders(spark, *_WRITTEN.pop(spark.sparkContext.applicationId, []))
+
+
+def scratch_mark(spark: SparkSession) -> tuple[SparkSession, int]:
+    """A point in time for :func:`release_since`."""
+    return spark, len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_since(mark: tuple[SparkSession, int], *kept: DataFrame) -> None:
+    """Delete what :func:`durable` has written since ``mark``, but for the frames that are kept; for steps whose results are written."""
+    spark, n = mark
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    held = {name for df in kept for file in df.inputFiles() for name in file.split("/") if name.startswith("lorespark-")}
+    gone = [p for p in written[n:] if p.rsplit("/", 1)[-1] not in held]
+    written[n:] = [p for p in written[n:] if p not in gone]
+    delete_folders(spark, *gone)
