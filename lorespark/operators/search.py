@@ -8,7 +8,7 @@ what is shuffled is k rows a query and task, however frequent a token is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,9 +173,16 @@ def normalised(scores: DataFrame) -> DataFrame:
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each query by score to six decimals, then id, with their rank from 1; the limit is applied before the shuffle."""
+    """The ``k`` best of each query by score to six decimals, then id, with their rank from 1; the limit is applied before the shuffle. With
+    ``k`` -1 all are ranked."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
+    return ranked if k == -1 else ranked.where(F.col("rank") <= k)
+
+
+def clamped(k: int, most: int = 20) -> int:
+    """A number of results that a caller may ask for: 1 to ``most``, or -1 for all."""
+    return k if k == -1 else max(1, min(k, most))
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame, id_col: str, vector_col: str, dim: int, k: int) -> DataFrame:
@@ -283,6 +290,37 @@ def parents_for_children(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("query_id", "id", "score", F.row_number().over(w).alias("rank"))
 
 
+def embedded(docs: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], list[list[float]]], texts_at_once: int = 256) -> DataFrame:
+    """(id, vector) by a model of the caller: a list of texts in, a vector each out. It is called in the tasks, so it must be picklable or open
+    what it needs there. Null texts have no vector."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, texts_at_once):
+                batch = whole.slice(at, texts_at_once)
+                vectors = model(batch.column("text").to_pylist())
+                yield pa.record_batch([batch.column("id"), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "vector"])
+
+    given = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, f"id {kind}, vector ARRAY<FLOAT>")
+
+
+def reranked(ranked: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, scorer: Callable[[list[str], list[str]], list[float]], chars: int = 1500) -> DataFrame:
+    """The ``k`` best of each query by a pair model of the caller: queries and texts (their first ``chars`` characters) in, a score each out."""
+    q = queries.select("query_id", F.substring(F.coalesce("query", F.lit("")), 1, chars).alias("q"))
+    t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    pairs = ranked.select("query_id", "id").join(q, "query_id").join(t, "id").select("query_id", "id", "q", "t")
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("query_id", "id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = scorer(batch.column("q").to_pylist(), batch.column("t").to_pylist())
+            yield pa.record_batch([batch.column("query_id"), batch.column("id"), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
+
+    return top_k(pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score DOUBLE"), k)
+
+
 def overlap_rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """The default scorer in place of a pair model: the share of the query's distinct tokens that the text has."""
     q = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q"))

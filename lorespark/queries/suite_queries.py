@@ -156,6 +156,15 @@ _QUALITY = """round(CASE WHEN len(steps) >= 2 THEN 0.30 WHEN len(steps) = 1 THEN
   + CASE WHEN len(preconditions) >= 1 THEN 0.15 ELSE 0 END + CASE WHEN cardinality(test_data) >= 1 THEN 0.15 ELSE 0 END
   + CASE WHEN coalesce(use_case, '') <> '' AND length(coalesce(test_case, '')) > 10 THEN 0.15 WHEN coalesce(use_case, '') <> '' OR coalesce(test_case, '') <> '' THEN 0.07 ELSE 0 END, 2)::DOUBLE"""
 _LINES = "coalesce(array_to_string(list_filter({0}, lambda x: x IS NOT NULL), {1}), '') AS {0}"
+_WORDINGS = r"""
+WITH w AS (
+  SELECT case_id, suite_id, coalesce(pos, -1) AS pos,
+    list_sort(list_distinct(regexp_extract_all(lower(coalesce(use_case, '') || ' ' || coalesce(test_case, '')), '[\p{L}\p{N}_]+'))) AS t FROM test_cases WHERE suite_id IS NOT NULL),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suite_id, t ORDER BY pos, case_id) AS n FROM w WHERE len(t) > 0) WHERE n = 1)
+"""
+_SIMILAR = """
+SELECT x.case_id AS a, y.case_id AS b FROM h x JOIN h y ON x.suite_id = y.suite_id AND (x.pos, x.case_id) < (y.pos, y.case_id)
+WHERE len(list_intersect(x.t, y.t)) ** 2 > 0.7225 * len(x.t) * len(y.t)"""
 SQL = {
     "exact_dedup": f"""
 SELECT case_id, suite_id, test_case FROM (SELECT *, row_number() OVER (PARTITION BY
@@ -184,13 +193,7 @@ SELECT case_id, suite_id FROM test_cases a WHERE pos > 30 AND NOT EXISTS (
 SELECT case_id, coalesce(nullif(use_case, ''), 'General Use Case') AS use_case, coalesce(nullif(test_case, ''), 'Untitled Test Case') AS test_case,
   coalesce(len(list_filter(steps, lambda s: s IS NOT NULL)), 0)::INT AS n_steps, coalesce(array_to_string(list_filter(tags, lambda s: s IS NOT NULL), ','), '') AS tags
 FROM test_cases WHERE test_case IS NOT NULL""",
-    "semantic_pairs": r"""
-WITH w AS (
-  SELECT case_id, suite_id, coalesce(pos, -1) AS pos,
-    list_sort(list_distinct(regexp_extract_all(lower(coalesce(use_case, '') || ' ' || coalesce(test_case, '')), '[\p{L}\p{N}_]+'))) AS t FROM test_cases WHERE suite_id IS NOT NULL),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suite_id, t ORDER BY pos, case_id) AS n FROM w WHERE len(t) > 0) WHERE n = 1)
-SELECT x.case_id AS a, y.case_id AS b FROM h x JOIN h y ON x.suite_id = y.suite_id AND (x.pos, x.case_id) < (y.pos, y.case_id)
-WHERE len(list_intersect(x.t, y.t)) ** 2 > 0.7225 * len(x.t) * len(y.t)""",
+    "semantic_pairs": _WORDINGS + _SIMILAR,
     "suite_merged": """
 SELECT case_id, suite_id, row_number() OVER (PARTITION BY suite_id ORDER BY coalesce(floor(pos / 10), -1), pos NULLS FIRST, case_id) AS place FROM test_cases WHERE suite_id IS NOT NULL""",
     "suite_completed": f"""

@@ -52,6 +52,8 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 #: Addresses that are never fetched.
 BLOCKED = ("localhost", "127.0.0.1", "0.0.0.0", "::1")
+#: An address as one number, or in hexadecimal or octal parts: it may be any of the private ones.
+_SPELT = r"^(?:\d+|0x[0-9a-f.x]+|(?:\d+\.)*0\d+(?:\.\d+)*|\d+\.\d+|\d+\.\d+\.\d+)$"
 _PRIVATE = r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|\[?(?:::1|f[cd][0-9a-f]{2}:|fe80:))"
 
 
@@ -63,7 +65,7 @@ def url_problem(url: Column) -> Column:
         F.when(~scheme.isin("http", "https") | url.isNull(), "scheme")
         .when(host == "", "no host")
         .when(host.isin(*BLOCKED), "blocked host")
-        .when(host.rlike(_PRIVATE), "private address")
+        .when(host.rlike(_PRIVATE) | host.rlike(_SPELT), "private address")
     )
 
 
@@ -75,6 +77,12 @@ def is_excluded(url: Column, patterns: list[str]) -> Column:
     return out
 
 
+def wanted_urls(urls: DataFrame, patterns: list[str], limit: int | None = None) -> DataFrame:
+    """(url): those that hold none of the patterns, each once, in the order of ``place``; the limit counts what is left."""
+    kept = urls.where("url IS NOT NULL").where(~is_excluded(F.col("url"), patterns)).groupBy("url").agg(F.min("place").alias("place")).orderBy("place", "url")
+    return (kept.limit(limit) if limit else kept).select("url")
+
+
 def sitemap_locations(xml: Column) -> Column:
     """The page addresses of a sitemap, in whatever namespace."""
     return F.filter(F.transform(F.xpath(xml, F.lit("//*[local-name()='url']/*[local-name()='loc']/text()")), strip), lambda u: u != "")

@@ -118,3 +118,13 @@ def test_graph_expansion(spark):
     ranked = spark.createDataFrame([(1, "a", 0.9, 1), (1, "c", 0.5, 2), (2, "q", 0.4, 1)], "query_id BIGINT, id STRING, score DOUBLE, rank INT")
     got = {tuple(r) for r in S.expanded(ranked, edges, belongs, 2).collect()}
     assert got == {(1, "a", 0.9, 1), (1, "c", 0.5, 2), (1, "b", 0.0, 3), (1, "z", 0.0, 4), (2, "q", 0.4, 1)}
+
+
+def test_models_of_the_caller(spark):
+    docs = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "y")], "id STRING, text STRING")
+    assert {(r.id, tuple(r.vector)) for r in S.embedded(docs, "id", "text", lambda texts: [[float(len(t))] for t in texts]).collect()} == {("a", (2.0,)), ("c", (1.0,))}
+    ranked = spark.createDataFrame([(1, "a", 0.1, 1), (1, "b", 0.1, 2), (1, "c", 0.1, 3)], "query_id BIGINT, id STRING, score DOUBLE, rank INT")
+    q = spark.createDataFrame([(1, "ask")], "query_id BIGINT, query STRING")
+    out = S.reranked(ranked, q, docs, "id", "text", 2, lambda qs, ts: [float(t == "y") + len(t) / 100 for t in ts])
+    assert [r.id for r in out.orderBy("rank").collect()] == ["c", "a"]
+    assert S.top_k(ranked, -1).count() == 3 and [S.clamped(k) for k in (-1, 0, 7, 99)] == [-1, 1, 7, 20]

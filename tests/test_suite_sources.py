@@ -221,3 +221,11 @@ def test_suite_passes(spark):
     assert {r.case_id for r in U.reviewed(cases, more).collect()} == {9, 8, 3, 4}
     assert [(r.case_id, r.place) for r in U.merged_in_order(cases.unionByName(more), "part", "pos").where("suite_id = 1").orderBy("place").collect()] == [(9, 1), (1, 2), (2, 3), (8, 4)]
     assert U.reviewed(cases, more.limit(0)).count() == 4 and U.merged_in_order(cases.limit(0), "part", "pos").isEmpty()
+
+
+def test_spelt_addresses_and_limits(spark):
+    urls = ["http://2130706433/", "http://0x7f.1/", "http://0177.0.0.1/", "http://127.1/", "http://8.8.8.8/", "http://a1.example/", "http://1.example/"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u STRING").select(D.url_problem(F.col("u"))).collect()]
+    assert got == ["private address"] * 4 + [None] * 3
+    listed = spark.createDataFrame([("http://a/x", 3), ("http://a/Login", 1), ("http://a/y", 2), ("http://a/y", 9), (None, 0)], "url STRING, place INT")
+    assert [r.url for r in D.wanted_urls(listed, ["login"], 1).collect()] == ["http://a/y"] and D.wanted_urls(listed, []).count() == 3
