@@ -70,13 +70,25 @@ def write_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> Non
     A term is the 64-bit hash of a token. A text without a token has none; rows without an id are left out.
     """
     given = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")))
-    hashed = given.select("id", F.size("words").alias("dl"), F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
-    # a sorted list and its distinct values: a term's count is the distance between its places
-    terms = F.array_distinct("h")
-    placed = hashed.select("id", "dl", "h", terms.alias("terms")).withColumn("at", F.transform("terms", lambda t: F.array_position("h", t)))
-    ends = F.slice(F.array_append("at", (F.size("h") + 1).cast("bigint")), 2, F.greatest(F.size("at"), F.lit(0)))
-    counts = F.transform(F.arrays_zip(F.col("at").alias("a"), ends.alias("b")), lambda x: (x["b"] - x["a"]).cast("int"))
-    placed.select("id", "dl", "terms", counts.alias("counts")).write.mode("overwrite").parquet(f"{folder}/texts")
+    hashed = given.select("id", F.size("words").alias("dl"), F.transform("words", lambda w: F.xxhash64(w)).alias("terms"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("terms")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            term = column.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((term, owner))
+            owner, term = owner[order], term[order]
+            new = np.ones(len(term), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])
+            first = np.nonzero(new)[0]
+            counts = np.diff(np.append(first, len(term))).astype(np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=batch.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (term[first], counts)]
+            yield pa.record_batch([batch.column("id"), batch.column("dl"), *lists], names=["id", "dl", "terms", "counts"])
+
+    kind = hashed.schema["id"].dataType.simpleString()
+    hashed.mapInArrow(count, f"id {kind}, dl INT, terms ARRAY<BIGINT>, counts ARRAY<INT>").write.mode("overwrite").parquet(f"{folder}/texts")
     texts = docs.sparkSession.read.parquet(f"{folder}/texts")
     texts.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{folder}/figures")
     n = docs.sparkSession.read.parquet(f"{folder}/figures").first()["n"]
