@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
-from lorespark.operators.skew import first_rows
+from lorespark.operators.skew import attach_by_key, first_rows
 from lorespark.plans.durable import durable
 from lorespark.sources.tables import table
 
@@ -59,10 +59,11 @@ def bfs_2hop(spark, d):
 
 
 def _connected(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Components of chunks; what names a source is connected with all its chunks."""
-    named = edges.where(F.col("dst").startswith(G.SOURCE)).select(F.col("dst").alias("src")).distinct()
-    belongs = G.members(chunks).join(named, "src", "left_semi")
-    return G.components(edges.select("src", "dst").unionByName(belongs), chunks).where(~F.col("id").startswith(G.SOURCE))
+    """(id, component) of chunks, named by the smallest: neighbours in a source are connected through the source, and so is what names it."""
+    ways = edges.where("relation <> 'same_source'").select("src", "dst").unionByName(G.members(chunks))
+    found = durable(G.components(ways, chunks).where(~F.col("id").startswith(G.SOURCE)))
+    names = durable(found.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("n")))
+    return attach_by_key(found, names, "component", "n", found.count()).select("id", F.col("name").alias("component"))
 
 
 def graph_stats(spark, d):
@@ -115,7 +116,7 @@ e AS (
 _CONNECTED = f"""{_ALL},
 m AS (SELECT src, dst FROM e UNION SELECT 'source:' || source_name, id FROM c WHERE source_name IN (SELECT names_source FROM ce)),
 a AS (SELECT src, dst FROM m UNION SELECT dst, src FROM m),
-nn AS (SELECT id FROM c UNION SELECT src FROM a),
+nn AS (SELECT id FROM c UNION SELECT src FROM a WHERE NOT starts_with(src, 'source:')),
 r AS (SELECT id, id AS component FROM nn UNION SELECT a.dst, r.component FROM r JOIN a ON a.src = r.id),
 f AS (SELECT id, min(component) AS component FROM r GROUP BY id HAVING NOT starts_with(id, 'source:'))"""
 SQL = {
