@@ -1,15 +1,14 @@
 """Lines repeated across one source's documents.
 
 Every distinct line of a source becomes a masked form (digits, month names and names inside the line masked). Forms are clustered within
-their source by locality-sensitive hashing: MinHash over words and word pairs, BANDS bands of ROWS hashes; each form of a bucket is compared
-with the bucket's two heads, the first and the last in an order that differs from band to band, links of at least SIMILAR (Jaccard) are verified on the whole sets, and
-what links connect is a cluster. A cluster's document frequency is the number of its source's rows that hold any of its lines, and clusters
+their source: all pairs of at least SIMILAR (Jaccard over words and word pairs) are found by the rarest words and word pairs of each form
+and verified on the whole sets, and what they connect is a cluster. A cluster's document frequency is the number of its source's rows that hold any of its lines, and clusters
 with enough of it are what is repeated: :func:`repeated_lines` gives every occurrence of every line of them, so that bylines with changing names
 and notices with small edits go too. Each occurrence carries the number of rows that hold its very letters, for rules on lines alone.
 
-Lines and forms that one row alone has cannot be repeated and are not clustered. A row counts once for a line. Counts are combined before
-every shuffle, keys are (source, line), so a source that owns a third of all rows is spread over all tasks, and a line that owns a large
-share of all lines is attached by broadcast. No pairs within a bucket are made but those with its heads.
+Lines and forms that one row alone has are clustered like all others: many small edits of one notice are repeated together. A row counts
+once for a line. Counts are combined before every shuffle, keys are (source, line), so a source that owns a third of all rows is spread over
+all tasks, and a line that owns a large share of all lines is attached by broadcast.
 
 Defined results: rows without a source or with null text are left out; blank texts count as rows of their source; lines without a letter
 are left out; repeated raw_ids are separate rows; line numbers count from 1 over all lines.
@@ -19,21 +18,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.shingles import mixed
+from lorespark.llm.shingles import WordHashes, bit_columns, mixed, rolled
 from lorespark.operators.graph import components
 from lorespark.operators.skew import attach_by_key, small_side
 from lorespark.plans.durable import durable
 
 LEAST_ROWS, LEAST_SHARE = 5, 0.1
-BANDS, ROWS, SIMILAR = 12, 3, 0.8
+SIMILAR = 0.8
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24  # two bytes each
+FEW_BITS = 128  # of a form, in each of its filed rows
+FEW = [f"few_{k}" for k in range(FEW_BITS // 64)]
+FORMS_OF_A_SHARE = 1000
 #: Month names of the languages in use.
 MONTHS = (
     "january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|"
@@ -93,48 +96,121 @@ def read_lines(docs: DataFrame) -> DataFrame:
     return given.select(F.col("raw_id").cast("bigint"), "source_name", "text").mapInArrow(run, SEEN)
 
 
-_HASHED = "source_name STRING, f BIGINT, band INT, h BIGINT, grams ARRAY<INT>"
+def _own_grams(batch: pa.RecordBatch, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, their form, how many each form has): the distinct words and word pairs of each form, as hashes salted by the source."""
+    lists = [form.split() for form in batch.column("form").to_pylist()]
+    lengths = np.array([len(ws) for ws in lists], np.int64)
+    owner = np.repeat(np.arange(len(lists)), lengths)
+    hashes = known.of([w for ws in lists for w in ws])
+    pair = np.arange(len(hashes)) + 1 < np.cumsum(lengths)[owner]
+    owners = np.concatenate([owner, owner[pair]])
+    grams = mixed(np.concatenate([rolled(hashes, 1), rolled(hashes, 2)[pair]]) + known.of(batch.column("source_name").to_pylist())[owners])
+    order = np.lexsort((grams, owners))
+    grams, owners = grams[order], owners[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
+    return grams[new], owners[new], np.bincount(owners[new], minlength=len(lists))
 
 
-def _signatures(forms: DataFrame) -> DataFrame:
-    rng = np.random.default_rng(7)
-    seeds = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+def gram_counts(forms: DataFrame) -> np.ndarray:
+    """How many forms meet each slot of a table of bounded size, up to 65535, never too few: it orders the grams, and a slot met once has one form."""
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (32 * forms.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                grams, keys = [], []
-                for form in batch.column("form").to_pylist():
-                    ws = form.split()
-                    g = np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in [*ws, *map(" ".join, zip(ws, ws[1:], strict=False))] or [""]), np.uint32))
-                    mins = mixed(mixed(g.astype(np.uint64)[:, None] ^ seeds)).min(0).reshape(BANDS, ROWS)
-                    grams.append(g.view(np.int32))
-                    keys.append(mixed(mixed(mixed(mins[:, 0]) + mins[:, 1]) + mins[:, 2]).view(np.int64))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                column = pa.array(grams, pa.list_(pa.int32()))
-                yield pa.record_batch(
-                    [batch.column("source_name").take(at), batch.column("f").take(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
-                     pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), column.take(at)],
-                    names=["source_name", "f", "band", "h", "grams"],
-                )
-
-    return forms.select("source_name", "f", "form").mapInArrow(run, _HASHED)
+        known, met = WordHashes(), np.zeros(counters, np.int32)
+        for batch in batches:
+            grams, _, _ = _own_grams(batch, known)
+            slots, n = np.unique((grams % np.uint64(counters)).astype(np.int64), return_counts=True)
+            met[slots] += n.astype(np.int32)
+        slots = np.nonzero(met)[0]
+        yield pa.record_batch([pa.array(slots.astype(np.int32)), pa.array(met[slots])], names=["slot", "n"])
 
+    slots = forms.select("source_name", "form").mapInArrow(run, "slot INT, n INT")
+    rows = slots.groupBy("slot").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(counters, np.uint16)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+_FILED = f"gram BIGINT, f BIGINT, size INT, {', '.join(f'{c} BIGINT' for c in FEW)}"
 
-def clusters(forms: DataFrame) -> DataFrame:
-    """(f, cluster) of distinct forms (source_name, f, form): what verified links connect, directly or through others.
 
-    Equal forms are one row, so a bucket holds distinct forms only.
+def _filed(forms: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``_FILED``: each form's rarest grams, one more than two forms of SIMILAR may differ by, less those that no other form has."""
+    shared = forms.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            grams, owner, sizes = _own_grams(batch, known)
+            if not len(grams):
+                continue
+            met = shared.value[(grams % np.uint64(len(shared.value))).astype(np.int64)]
+            place = np.empty(len(grams), np.int64)
+            place[np.lexsort((grams, met, owner))] = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[owner]
+            spare = sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(np.int64)
+            keep = np.nonzero((place <= spare[owner]) & (met > 1))[0]
+            at = pa.array(owner[keep])
+            few = bit_columns(grams, owner, batch.num_rows, FEW_BITS)
+            yield pa.record_batch(
+                [pa.array(grams[keep].view(np.int64)), batch.column("f").take(at), pa.array(sizes.astype(np.int32)).take(at)] + [c.take(at) for c in few],
+                names=["gram", "f", "size", *FEW],
+            )
+
+    return forms.select("source_name", "f", "form").mapInArrow(run, _FILED)
+
+
+def _met(filed: DataFrame) -> DataFrame:
+    """(a, b): forms that share a filed gram, and whose sizes and bits allow SIMILAR. The rows of a gram that many forms have are met in
+    shares, each with each, so that no task makes all its pairs."""
+    crowded = filed.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > FORMS_OF_A_SHARE)
+    parts = small_side(durable(crowded.select("gram", F.ceil(F.col("n") / FORMS_OF_A_SHARE).cast("int").alias("shares"))))
+    own = F.pmod(F.xxhash64("f"), F.col("shares")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    split = filed.join(parts, "gram").withColumn("own", own).withColumn("other", other).drop("shares")
+    whole = filed.join(parts, "gram", "left_anti").withColumns({"own": F.lit(0), "other": F.lit(0)})
+    rows = whole.unionByName(split)
+    one, two = [
+        rows.select("gram", F.col(mine).alias("own"), F.col(its).alias("other"), *[F.col(c).alias(f"{c}_{x}") for c in ("f", "size", *FEW)])
+        for x, mine, its in (("a", "own", "other"), ("b", "other", "own"))
+    ]
+    shared = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    lacks = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in FEW])
+    near = (shared <= F.least("size_a", "size_b")) & (lacks("a", "b") <= F.col("size_a") - shared) & (lacks("b", "a") <= F.col("size_b") - shared)
+    pairs = one.join(two, ["gram", "own", "other"]).where((F.col("f_a") < F.col("f_b")) & near)
+    return pairs.select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).distinct()
+
+
+def similar_pairs(forms: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of forms (source_name, f, form) of a source whose grams are SIMILAR by Jaccard; none is left out.
+
+    Grams have one order, rarest first. Two such forms share at least SIMILAR of either one's grams, so the rarest grams of one that are more
+    than the rest hold one of the other's: all pairs meet. The words themselves decide.
     """
-    hashed = _signatures(forms).withColumn("bucket", F.xxhash64("source_name", "band", "h"))
-    hashed = durable(hashed.withColumn("turn", F.xxhash64("f", "band")).drop("source_name", "band", "h"))
-    head = F.struct("turn", "f", "grams")
-    heads = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min(head), F.max(head)).alias("heads")).where("n > 1")
-    met = attach_by_key(hashed, heads, "bucket", "n", hashed.count()).select("f", "grams", F.explode("heads").alias("head"))
-    shared = F.size(F.array_intersect("grams", "head.grams"))
-    similar = (F.col("f") != F.col("head.f")) & (shared >= SIMILAR * (F.size("grams") + F.size("head.grams") - shared))
-    links = durable(met.where(similar).select(F.least("f", "head.f").alias("src"), F.greatest("f", "head.f").alias("dst")).distinct())
+    met = durable(_met(durable(_filed(forms, gram_counts(forms)))))
+    a, b = [forms.select(F.col("f").alias(x), F.col("form").alias(f"form_{x}")) for x in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(20_000)
+        def read(form: str) -> set:
+            ws = form.split()
+            return {*ws, *zip(ws, ws[1:], strict=False)}
+
+        def similar(x: set, y: set) -> bool:
+            both = len(x & y)
+            return both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
+
+        for batch in batches:
+            ok = [similar(read(x), read(y)) for x, y in zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)]
+            kept = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([kept.column("a"), kept.column("b")], names=["src", "dst"])
+
+    return met.join(a, "a").join(b, "b").select("a", "b", "form_a", "form_b").mapInArrow(run, "src BIGINT, dst BIGINT")
+
+
+def clusters(forms: DataFrame) -> DataFrame:
+    """(f, cluster) of distinct forms (source_name, f, form): what similar pairs connect, directly or through others."""
+    links = durable(similar_pairs(forms))
     if links.isEmpty():
         return forms.select("f", F.col("f").alias("cluster"))
     joined = components(links, links.select(F.col("src").alias("id"))).select(F.col("id").alias("f"), "component")
@@ -150,12 +226,10 @@ def repeated_lines(docs: DataFrame, least_rows: int = LEAST_ROWS, least_share: f
     sizes = docs.where("raw_id IS NOT NULL AND source_name IS NOT NULL AND text IS NOT NULL").groupBy("source_name").agg(F.count("*").alias("n"))
     seen = durable(read_lines(docs))
     enough = lambda c: (F.col(c) >= least_rows) & (F.col(c) >= least_share * F.col("n"))
-    units = seen.groupBy("source_name", "k").agg(F.sum("new_line").alias("df"), F.min("f").alias("f"))
-    of_form = seen.groupBy("source_name", "f").agg(F.sum("new_form").alias("form_df"))
-    # a line and a form that one row alone has are a cluster of their own, too small to matter
-    units = durable(units.join(of_form, ["source_name", "f"]).where("df > 1 OR form_df > 1").join(sizes, "source_name"))
-    # aggregated before it is joined: one form may own a large share of the lines
-    shown = seen.groupBy("source_name", "f").agg(F.min("form").alias("form")).join(units.select("f").distinct(), "f", "left_semi")
+    # a form that one row alone has may still be in a cluster that many rows have, so all are clustered
+    units = seen.groupBy("source_name", "k").agg(F.sum("new_line").alias("df"), F.min(F.struct("f", "form")).alias("x"))
+    units = durable(units.join(sizes, "source_name").select("source_name", "k", "df", "n", "x.f", "x.form"))
+    shown = units.groupBy("source_name", "f").agg(F.min("form").alias("form"))
     of = durable(units.join(clusters(durable(shown)), "f").select("source_name", "k", "df", "n", "cluster"))
     # a cluster's rows are at most the sum of its lines' rows
     wide = of.groupBy("cluster").agg(F.sum("df").alias("most"), F.max("n").alias("n")).where(enough("most")).select("cluster")

@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 
 from lorespark.llm.leaks import align, leaks
-from lorespark.llm.repeats import by_letters, clusters, masked_form, repeated_lines, without_lines
+from lorespark.llm import repeats
+from lorespark.llm.repeats import by_letters, clusters, masked_form, repeated_lines, similar_pairs, without_lines
 
 ITEM = "the quick brown fox jumps over the lazy dog near the river bank while seven owls watch from an old oak"
 W = ITEM.split()
@@ -109,5 +110,35 @@ def test_cluster_recall(spark):
     assert len(set(of.values())) >= 55 and len(of) == len(made)
 
 
+def test_lines_of_one_row_each_are_repeated_together(spark):
+    """Small edits of one notice, each in one row alone and of a form of its own."""
+    ws = "please note that this page is kept for reference only and that its contents may change without any further notice to readers who use it in their own work or pass it on to others in print".split()
+    odd = [*"abcdefghijkl"]
+    rows = [(n, "s", "body " + c * 9 + "\n" + " ".join(c * 6 if i == n else w for i, w in enumerate(ws))) for n, c in enumerate(odd)]
+    found = repeated_lines(spark.createDataFrame(rows, "raw_id BIGINT, source_name STRING, text STRING"))
+    assert {(r.raw_id, r.line_no, r.held, r.line_rows) for r in found.collect()} == {(n, 2, len(odd), 1) for n in range(len(odd))}
+    assert by_letters(found).isEmpty()
+
+
+def test_all_similar_pairs(spark, monkeypatch):
+    """As a brute force has them, at the threshold too, whether a gram is crowded or not."""
+    r, made = random.Random(4), set()
+    for _ in range(60):
+        base = [r.choice("abcdefghijklmno") * 3 for _ in range(r.randrange(1, 30))]
+        for _ in range(6):
+            ws = list(base)
+            for _ in range(r.randrange(3)):
+                ws[r.randrange(len(ws))] = r.choice("abcdefghijklmnopq") * 3
+            made.add((r.choice("st"), " ".join(ws + [r.choice("xyz")] * r.randrange(2))))
+    made = sorted(made)
+    forms = spark.createDataFrame([(s, i, f) for i, (s, f) in enumerate(made)], "source_name STRING, f BIGINT, form STRING")
+    grams = [{*f.split(), *zip(f.split(), f.split()[1:], strict=False)} for _, f in made]
+    want = {(j, i) for i in range(len(made)) for j in range(i) if made[i][0] == made[j][0] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])}
+    assert len(want) > 60
+    for share in (1000, 7):
+        monkeypatch.setattr(repeats, "FORMS_OF_A_SHARE", share)
+        assert {tuple(x) for x in similar_pairs(forms).collect()} == want
+
+
 def test_masked_form():
     assert masked_form("Last updated 12 March 2024 by Anna Smith") == masked_form("Last updated 3 June 2021 by Hugo Brown")
